@@ -1,0 +1,125 @@
+import math
+import random
+
+import pytest
+
+from reviewmine.operators import recommend as rec
+from reviewmine.operators.correlation import cosine, pearson
+from reviewmine.operators.neighbours import user_neighbours
+
+# two small rating tables whose predictions are known
+USER_CASE = """u1 b1 4, u1 b3 5, u1 b4 5, u2 b1 4, u2 b2 2, u2 b3 1, u3 b1 3, u3 b3 2, u3 b4 4,
+               u4 b1 4, u4 b2 4, u5 b1 2, u5 b2 1, u5 b3 3, u5 b4 5"""
+ITEM_CASE = "u1 b1 2, u1 b2 1, u1 b4 3, u2 b1 3, u2 b3 5, u2 b4 2, u3 b2 4, u3 b3 2, u3 b4 3, u4 b1 5, u4 b2 3, u4 b3 1"
+SCHEMA = "user_id string, item_id string, rating double"
+
+
+def table(spark, text):
+    rows = [entry.split() for entry in text.split(",")]
+    return spark.createDataFrame([(u, b, float(r)) for u, b, r in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("limits", [{}, {"crowd": 0}, {"crowd": 0, "block_users": 2}])
+def test_user_based_example(spark, limits):
+    test = spark.createDataFrame([("u1", "b2", 3.99), ("u1", "b1", 1.0), ("u9", "b1", 2.0)], SCHEMA)
+    got = rec.predict_user_based(table(spark, USER_CASE), test, **limits)
+    values = {(r.user_id, r.item_id): r.prediction for r in got.collect()}
+    assert values == {("u1", "b2"): pytest.approx(3.9997, abs=5e-5), ("u1", "b1"): 4.0}
+
+
+def test_item_based_example(spark):
+    train = table(spark, ITEM_CASE)
+    test = spark.createDataFrame([("u1", "b3", -1.55)], SCHEMA)
+    assert rec.predict_item_based(train, test, top=2).first().prediction == pytest.approx(-1.5548, abs=5e-5)
+    assert rec.predict_item_based(train, test).first().prediction == pytest.approx(-2.1729, abs=5e-5)
+    assert rec.predict_user_mean(train, test).first().prediction == 2.0
+
+
+def random_ratings(seed=11, users=30, items=14):
+    rng = random.Random(seed)
+    rows = {(u, i): float(rng.randint(1, 5)) for u in range(users) for i in range(items) if rng.random() < 0.45}
+    rows.update({(u, 0): float(rng.randint(1, 5)) for u in range(users) if u % 7})  # one item nearly all have rated
+    return rows
+
+
+RATED = random_ratings()
+LONGS = "user_id long, item_id long, rating double"
+
+
+def by_hand(rated, u, v):
+    """Weight of two users and whether they have anything in common."""
+    of = lambda x: {i: r for (w, i), r in rated.items() if w == x}
+    a, b = of(u), of(v)
+    ma, mb = sum(a.values()) / len(a), sum(b.values()) / len(b)
+    both = set(a) & set(b)
+    x, y = sum((a[i] - ma) ** 2 for i in both), sum((b[i] - mb) ** 2 for i in both)
+    dot = sum((a[i] - ma) * (b[i] - mb) for i in both)
+    return (round(dot / math.sqrt(x * y), 9) if x * y > 0 else 0.0), bool(both)
+
+
+def neighbours_by_hand(rated, u, i, n):
+    scored = [(v, *by_hand(rated, u, v)) for (v, j) in rated if j == i]
+    return sorted((-w, v) for v, w, both in scored if both)[:n]
+
+
+@pytest.mark.parametrize("limits", [{"crowd": 1000}, {"crowd": 0, "block_users": 8}, {"crowd": 12, "block_users": 100}])
+def test_neighbours(spark, limits):
+    train = spark.createDataFrame([(u, i, r) for (u, i), r in RATED.items()], LONGS)
+    cells = [(u, i) for u in range(30) for i in range(14) if (u, i) not in RATED and (u + i) % 3 == 0]
+    targets = spark.createDataFrame(cells, "user_id long, item_id long")
+    got = {}
+    for r in user_neighbours(train, targets, 5, **limits).collect():
+        got.setdefault((r.user_id, r.item_id), {})[r.rank] = (r.neighbour, r.w)
+    for u, i in cells:
+        want = neighbours_by_hand(RATED, u, i, 5)
+        found = [got.get((u, i), {})[k + 1] for k in range(len(got.get((u, i), {})))]
+        assert [w for _, w in found] == pytest.approx([-w for w, _ in want], abs=1e-8)
+        assert [v for v, _ in found] == [v for _, v in want]
+
+
+def test_pair_weights(spark):
+    train = spark.createDataFrame([(u, i, r) for (u, i), r in RATED.items()], LONGS)
+    pairs = spark.createDataFrame([(0, 5), (3, 9), (1, 2)], "a long, b long")
+    for r in pearson(pairs, train, "user_id").collect():
+        assert r.w == pytest.approx(by_hand(RATED, r.a, r.b)[0], abs=1e-8)
+    for r in cosine(pairs, train, "user_id").collect():
+        a, b = ({i: x for (w, i), x in RATED.items() if w == u} for u in (r.a, r.b))
+        norms = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
+        assert r.w == pytest.approx(sum(a[i] * b[i] for i in set(a) & set(b)) / norms, abs=1e-8)
+    apart = spark.createDataFrame([("x", "p", 1.0), ("y", "q", 2.0)], SCHEMA)
+    pair = spark.createDataFrame([("x", "y")], "a string, b string")
+    assert cosine(pair, apart, "user_id").first().w == 0.0
+    assert pearson(pair, apart, "user_id").isEmpty()
+
+
+def test_cold_rows(spark):
+    train = table(spark, ITEM_CASE)
+    rows = [("u1", "b3", 4.0), ("u9", "b1", 2.0), ("u9", "b1", 2.0), ("u2", "b9", 5.0), ("u9", "b9", 1.0)]
+    test = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, rec.warm_rows(train, test).collect())) == [rows[0]]
+    cold = rec.cold_rows(train, test)
+    assert sorted(map(tuple, cold.collect())) == sorted(rows[1:])
+    assert rec.cold_start_mean(cold).first()[0] == pytest.approx(10.0 / 3)  # four ratings, three distinct rows
+    assert rec.cold_start_mean(cold.limit(0)).first()[0] == 0.0
+    whole = rec.with_cold(train, test, rec.predict_user_mean(train, test))
+    got = {(r.user_id, r.item_id): r.prediction for r in whole.collect()}
+    assert got == {
+        ("u1", "b3"): 2.0, ("u9", "b1"): pytest.approx(10 / 3), ("u2", "b9"): pytest.approx(10 / 3),
+        ("u9", "b9"): pytest.approx(10 / 3),
+    }
+    errors = [2.0**2, (2 - 10 / 3) ** 2, (2 - 10 / 3) ** 2, (5 - 10 / 3) ** 2, (1 - 10 / 3) ** 2]
+    assert rec.rmse(test, whole).first()[0] == pytest.approx(math.sqrt(sum(errors) / 5))
+    assert rec.train_mean(train).first()[0] == pytest.approx(34 / 12)
+
+
+def test_als_beats_the_mean(spark):
+    rng = random.Random(2)
+    taste, quality = [rng.random() for _ in range(25)], [rng.random() for _ in range(20)]
+    rows = [(f"u{u}", f"i{i}", 1 + 4 * taste[u] * quality[i]) for u in range(25) for i in range(20)]
+    rng.shuffle(rows)
+    train, test = (spark.createDataFrame(part, SCHEMA) for part in (rows[:400], rows[400:]))
+    predicted = rec.predict_als(train, test)
+    assert predicted.count() == 100
+    level = sum(r for *_, r in rows[:400]) / 400
+    spread = math.sqrt(sum((r - level) ** 2 for *_, r in rows[400:]) / 100)
+    assert rec.rmse(test, predicted).first()[0] < spread / 2
