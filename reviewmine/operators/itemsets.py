@@ -97,23 +97,22 @@ def _count_levels(
     kept = baskets.join(levels[0].select("chunk", F.col("items")[0].alias("item")), ["chunk", "item"], "left_semi")
     kept = materialize(kept)
     found = kept.select("chunk", "basket", F.array("item").alias("items"))
-    size = 1
-    while max_size is None or size < max_size:
+    size, grown = 1, None
+    while not levels[-1].isEmpty() and size != max_size:
         size += 1
-        grown = _extend(found, kept)
         wanted = None
         if candidates is not None:
             wanted = listed(size)
         elif size > 2:
             wanted = materialize(_candidates(levels[-1], levels[1], size))
+        if wanted is not None and wanted.isEmpty():
+            break
+        if grown is not None:
+            found = materialize(grown.join(levels[-1], ["chunk", "items"], "left_semi"))
+        grown = _extend(found, kept)
         if wanted is not None:
-            if wanted.isEmpty():
-                break
             grown = grown.join(wanted, ["chunk", "items"], "left_semi")
         levels.append(counted(grown))
-        if levels[-1].isEmpty() or size == max_size:
-            break
-        found = materialize(grown.join(levels[-1], ["chunk", "items"], "left_semi"))
     whole = reduce(DataFrame.unionByName, levels)
     return whole.select("chunk", F.size("items").alias("size"), "items", "freq")
 

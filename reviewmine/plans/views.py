@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewmine.sources.shared import fan_out
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -143,12 +145,21 @@ BASKETS = """baskets as (
 
 
 def shingles(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as sets of three-word shingles of their whole text."""
-    docs = table(spark, folder, "documents")
+    """Documents as sets of three-word shingles of their whole text.
+
+    Shingles take many times the room of the texts, so moving the texts first
+    to have them cut in many tasks costs little.
+    """
+    docs = fan_out(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     words = F.filter(F.split(F.lower("text"), r"[ \t\r\n\f]+"), lambda w: w != "")
-    docs = docs.select(F.col("doc_id").alias("item"), words.alias("words")).where(F.size("words") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, 3), " "))
-    return docs.select("item", F.explode(F.array_distinct(grams)).alias("value"))
+    docs = docs.select(F.col("doc_id").alias("item"), words.alias("w"))
+    append = lambda x, y: F.concat(x, F.lit(" "), y)
+    second, third = F.slice("w", F.lit(2), F.size("w") - 1), F.slice("w", F.lit(3), F.size("w") - 2)
+    # the shifted lists are shorter, which leaves nulls at the end
+    grams = F.zip_with(F.zip_with("w", second, append), third, append)
+    grams = F.when(F.size("w") >= 3, F.array_distinct(grams))
+    # a plain explode would compute the shingles twice, once to test for empty lists
+    return docs.select("item", F.explode_outer(grams).alias("value")).where(F.col("value").isNotNull())
 
 
 SHINGLES = r"""words as (

@@ -36,3 +36,12 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` into the session's number of shuffle partitions and keep that number.
+
+    For tables that are small by size but start heavy work, such as joins with
+    many matches: sized by bytes alone, they would end up in a few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
