@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmine.sources.shared import materialize
+from reviewmine.sources.shared import attach, materialize
 
 LIST_ROWS = 1000
 
@@ -68,7 +68,7 @@ def sorted_lists(df: DataFrame, key: str, value: str, rows: int = LIST_ROWS) ->
     pairs = ranked(df.select(key, value).distinct(), key, value, name="_pos")
     first = pairs.groupBy(key).agg(F.min("_pos").alias("_first"))
     return (
-        pairs.join(first, key)
+        attach(pairs, first, key)
         .withColumn("part", F.floor((F.col("_pos") - F.col("_first")) / rows).cast("bigint"))
         .groupBy(key, "part")
         .agg(F.array_sort(F.collect_list(value)).alias("items"))

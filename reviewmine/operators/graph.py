@@ -114,14 +114,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(links)
     while True:
         ends = arcs(links.select(F.col("lo").alias("src"), F.col("hi").alias("dst")))
-        lowest = ends.groupBy("node").agg(F.min("next").alias("low"))
+        lowest = materialize(ends.groupBy("node").agg(F.min("next").alias("low")))
         large = (
             ends.where(F.col("next") > F.col("node"))
             .join(lowest, "node")
             .select(F.col("next").alias("hi"), F.least("low", "node").alias("lo"))
             .distinct()
         )
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("low"))
+        large = materialize(large)
+        lowest = materialize(large.groupBy("hi").agg(F.min("lo").alias("low")))
         small = large.join(lowest, "hi").where(F.col("lo") != F.col("low"))
         small = small.select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
         links = materialize(small.unionByName(lowest.select("hi", F.col("low").alias("lo"))).distinct())

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewmine.sources.shared import materialize
+from reviewmine.sources.shared import attach, materialize
 
 Enough = Callable[[DataFrame], DataFrame]
 
@@ -28,7 +28,7 @@ def make_baskets(pairs: DataFrame, case: int = 1) -> DataFrame:
 def baskets_over(baskets: DataFrame, size: int) -> DataFrame:
     """Keep baskets with more than ``size`` distinct items."""
     large = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
-    return baskets.join(large, "basket", "left_semi")
+    return attach(baskets, large, "basket", "left_semi")
 
 
 def basket_count(baskets: DataFrame) -> int:

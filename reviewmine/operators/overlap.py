@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmine.sources.shared import fan_out, materialize
+from reviewmine.sources.shared import attach, fan_out, materialize
 
 CELLS = 1024  # values of equal frequency are ordered by hash cell
 CROWD = 1024  # a value in at most this many sets may pair them up directly
@@ -46,7 +46,7 @@ def prefixes(sets: DataFrame, sizes: DataFrame, length: Column) -> DataFrame:
     """
     frequency = sets.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
     cell = F.pmod(F.xxhash64("value"), F.lit(CELLS)).alias("cell")
-    shared = materialize(sets.join(frequency, "value").select("item", "value", "f", cell))
+    shared = materialize(attach(sets, frequency, "value").select("item", "value", "f", cell))
     # the window runs over (frequency, cell) counts of a set, not over its values
     cells = shared.groupBy("item", "f", "cell").agg(F.count(F.lit(1)).alias("k")).join(sizes, "item")
     whole = Window.partitionBy("item")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmine.functions.columns import has_text, is_five_star, is_useful, rating_bucket
+from reviewmine.sources.shared import materialize
 
 
 def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -47,22 +50,30 @@ def top_keys(reviews: DataFrame, key: str, n: int = 20) -> DataFrame:
 def review_profile(reviews: DataFrame) -> DataFrame:
     """All seven statistics of a review table as one row.
 
-    The scalars come from per-review, per-user and per-business aggregates, each
-    of which combines before its shuffle, instead of one aggregate with several
-    distincts (which would copy every row once per distinct column).
+    The texts are read once, for their length. The statistics then come from
+    per-review, per-user and per-business aggregates, each of which combines
+    before its shuffle, instead of one aggregate with several distincts (which
+    would copy every row once per distinct column).
     """
-    per_review = reviews.groupBy("review_id").agg(
-        F.max(F.when(is_useful(F.col("useful")), 1)).alias("useful"),
-        F.max(F.when(is_five_star(F.col("stars")), 1)).alias("five"),
-        F.max(F.length("text")).alias("chars"),
+    narrow = materialize(
+        reviews.select(
+            "review_id",
+            "user_id",
+            "business_id",
+            F.when(is_useful(F.col("useful")), 1).alias("useful"),
+            F.when(is_five_star(F.col("stars")), 1).alias("five"),
+            F.length("text").alias("chars"),
+        )
     )
+    with_text = F.when(F.col("chars") > 0, 1)
+    per_review = narrow.groupBy("review_id").agg(*(F.max(c).alias(c) for c in ("useful", "five", "chars")))
     scalars = per_review.agg(
         F.count("useful").alias("n_review_useful"),
         F.count("five").alias("n_review_5_star"),
         F.max("chars").cast("bigint").alias("n_characters"),
     )
-    users = reviews.groupBy("user_id").agg(F.count(F.when(has_text(F.col("text")), 1)).alias("n"))
-    business = reviews.groupBy("business_id").agg(F.count(F.when(has_text(F.col("text")), 1)).alias("n"))
+    users = narrow.groupBy("user_id").agg(F.count(with_text).alias("n"))
+    business = narrow.groupBy("business_id").agg(F.count(with_text).alias("n"))
     parts = [
         scalars,
         users.agg(F.count(F.when(F.col("n") > 0, F.col("user_id"))).alias("n_user")),
@@ -70,11 +81,9 @@ def review_profile(reviews: DataFrame) -> DataFrame:
         _top_list(users, "user_id", "top20_user"),
         _top_list(business, "business_id", "top20_business"),
     ]
-    # every part is one row, so the join on a constant moves five rows
-    result = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        result = result.join(part.withColumn("_one", F.lit(1)), "_one")
-    return result.drop("_one")
+    # five rows of one value set each
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*(F.max(c).alias(c) for c in rows.columns))
 
 
 def _top_list(counts: DataFrame, key: str, name: str) -> DataFrame:
@@ -160,9 +169,9 @@ def rating_histogram(ratings: DataFrame, rating: Column) -> DataFrame:
 def common_values(df: DataFrame, key: str, value: str, first, second) -> DataFrame:
     """Counts of the common and of all values of two keys, and their ratio."""
     of = lambda k: df.where(F.col(key) == k).select(value)
-    both = of(first).intersect(of(second)).agg(F.count(F.lit(1)).alias("n_common"), F.lit(1).alias("_one"))
-    either = of(first).unionByName(of(second)).distinct()
-    either = either.agg(F.count(F.lit(1)).alias("n_union"), F.lit(1).alias("_one"))
-    return both.join(either, "_one").select(
-        "n_common", "n_union", F.try_divide("n_common", "n_union").alias("similarity")
+    both = of(first).intersect(of(second)).withColumn("common", F.lit(1))
+    either = of(first).unionByName(of(second)).distinct().withColumn("any", F.lit(1))
+    counts = both.unionByName(either, allowMissingColumns=True).agg(
+        F.count("common").alias("n_common"), F.count("any").alias("n_union")
     )
+    return counts.select("*", F.try_divide("n_common", "n_union").alias("similarity"))

@@ -14,7 +14,7 @@ from reviewmine.functions.columns import cap_rating
 from reviewmine.functions.ordering import dense_index
 from reviewmine.operators.correlation import pearson
 from reviewmine.operators.neighbours import NEIGHBOURS, user_neighbours
-from reviewmine.sources.shared import materialize
+from reviewmine.sources.shared import attach, materialize
 
 FIRST_ITEMS, TOP_ITEMS = 15, 14
 CELL = ["user_id", "item_id"]
@@ -23,14 +23,14 @@ CELL = ["user_id", "item_id"]
 def warm_rows(train: DataFrame, test: DataFrame) -> DataFrame:
     """Test rows whose user and item both occur in the training data."""
     users, items = train.select("user_id").distinct(), train.select("item_id").distinct()
-    return test.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi").select(test.columns)
+    return attach(attach(test, users, "user_id", "left_semi"), items, "item_id", "left_semi").select(test.columns)
 
 
 def cold_rows(train: DataFrame, test: DataFrame) -> DataFrame:
     """Test rows whose user or item does not occur in the training data."""
     users = train.select("user_id").distinct().withColumn("_u", F.lit(1))
     items = train.select("item_id").distinct().withColumn("_i", F.lit(1))
-    marked = test.join(users, "user_id", "left").join(items, "item_id", "left")
+    marked = attach(attach(test, users, "user_id", "left"), items, "item_id", "left")
     return marked.where(F.col("_u").isNull() | F.col("_i").isNull()).select(test.columns)
 
 
@@ -51,9 +51,7 @@ def train_mean(train: DataFrame) -> DataFrame:
 
 def cold_predictions(cold: DataFrame, value: DataFrame) -> DataFrame:
     """All distinct cold cells with the one value."""
-    one = value.withColumn("_one", F.lit(1))
-    # the value is a single row
-    return cold.select(*CELL).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    return cold.select(*CELL).distinct().withColumn("prediction", F.lit(value.first()[0]))
 
 
 def user_means(train: DataFrame) -> DataFrame:
@@ -72,7 +70,8 @@ def _known_and_open(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataF
 def predict_user_mean(train: DataFrame, test: DataFrame) -> DataFrame:
     """The training rating of a cell if there is one, else the mean of its user."""
     cells = warm_rows(train, test.select(*CELL).distinct())
-    joined = cells.join(train.select(*CELL, "rating"), CELL, "left").join(user_means(train), "user_id")
+    joined = cells.join(train.select(*CELL, "rating"), CELL, "left")
+    joined = attach(joined, user_means(train), "user_id")
     return joined.select(*CELL, F.coalesce("rating", "mean").alias("prediction"))
 
 
@@ -86,15 +85,16 @@ def predict_from_users(train: DataFrame, targets: DataFrame, neighbours: DataFra
     A neighbour's mean leaves the target item out. Only the upper bound is cut.
     """
     totals = train.groupBy("user_id").agg(F.sum("rating").alias("sum"), F.count(F.lit(1)).alias("n"))
-    votes = neighbours.join(
-        train.select(F.col("user_id").alias("neighbour"), "item_id", "rating"), ["neighbour", "item_id"]
-    ).join(totals.withColumnRenamed("user_id", "neighbour"), "neighbour")
+    rated = train.select(F.col("user_id").alias("neighbour"), "item_id", "rating")
+    votes = attach(
+        neighbours.join(rated, ["neighbour", "item_id"]), totals.withColumnRenamed("user_id", "neighbour"), "neighbour"
+    )
     rest = F.try_divide(F.col("sum") - F.col("rating"), F.col("n") - 1)
     sums = votes.groupBy(*CELL).agg(
         F.sum(F.col("w") * (F.col("rating") - rest)).alias("shift"), F.sum(F.abs("w")).alias("total")
     )
     shift = F.when(F.col("total") > 0, F.col("shift") / F.col("total")).otherwise(0.0)
-    predicted = targets.join(sums, CELL, "left").join(user_means(train), "user_id")
+    predicted = attach(targets.join(sums, CELL, "left"), user_means(train), "user_id")
     return predicted.select(*CELL, cap_rating(F.col("mean") + F.coalesce(shift, F.lit(0.0))).alias("prediction"))
 
 

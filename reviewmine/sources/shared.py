@@ -38,6 +38,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def attach(rows: DataFrame, per_key: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` with a table that has one row per key, for keys of any skew.
+
+    The table is written first. The join then reads two plain inputs, so Spark
+    broadcasts the table if its written size allows, and otherwise can split a
+    key that holds a large share of the rows over many tasks. It could do
+    neither with an aggregate computed inside the join's own stage.
+    """
+    return rows.join(materialize(per_key), keys, how)
+
+
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Hash ``df`` into the session's number of shuffle partitions and keep that number.
 
