@@ -107,9 +107,9 @@ def predict_user_based(train: DataFrame, test: DataFrame, n: int = NEIGHBOURS, *
 def _rated_items(train: DataFrame, targets: DataFrame, first: int) -> DataFrame:
     """Each target with the first items (by id) its user has rated: ``(user_id, item_id, other, rating)``."""
     order = Window.partitionBy("user_id").orderBy("item_id")
-    asked = train.join(targets.select("user_id").distinct(), "user_id", "left_semi")
+    asked = attach(train, targets.select("user_id").distinct(), "user_id", "left_semi")
     some = asked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= first)
-    return targets.join(some.select("user_id", F.col("item_id").alias("other"), "rating"), "user_id")
+    return attach(targets, some.select("user_id", F.col("item_id").alias("other"), "rating"), "user_id")
 
 
 def _item_pair() -> list:
@@ -118,8 +118,11 @@ def _item_pair() -> list:
 
 def item_weights(train: DataFrame, targets: DataFrame, first: int = FIRST_ITEMS) -> DataFrame:
     """Pearson weights ``(a, b, w)`` of the item pairs needed for the targets, a few per target."""
-    pairs = _rated_items(train, targets, first).select(*_item_pair()).distinct()
-    return pearson(materialize(pairs), train, "item_id")
+    return _item_weights(train, _rated_items(train, targets, first))
+
+
+def _item_weights(train: DataFrame, rated: DataFrame) -> DataFrame:
+    return pearson(materialize(rated.select(*_item_pair()).distinct()), train, "item_id")
 
 
 def predict_item_based(
@@ -128,7 +131,7 @@ def predict_item_based(
     """Weighted mean of the user's own ratings of the most similar items; 0 without similar items."""
     known, targets = _known_and_open(train, test)
     rated = _rated_items(train, targets, first)
-    weights = item_weights(train, targets, first)
+    weights = _item_weights(train, rated)
     best = Window.partitionBy(*CELL).orderBy(F.desc("w"), "other")
     votes = rated.select("*", *_item_pair()).join(weights, ["a", "b"])
     votes = votes.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= top)

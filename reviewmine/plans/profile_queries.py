@@ -27,7 +27,7 @@ def _state_avg_stars(spark, folder):
 def _state_avg_unmatched(spark, folder):
     docs = views.table(spark, folder, "documents").select(F.col("doc_id").alias("business_id"), F.length("text").alias("chars"))
     labels = views.table(spark, folder, "labels").select(
-        F.col("doc_id").alias("business_id"), F.col("quality").cast("bigint").alias("state")
+        F.col("doc_id").alias("business_id"), F.col("quality").cast("string").alias("state")
     )
     return _rounded(profile.state_average(docs, labels, "chars"), "chars")
 
@@ -97,7 +97,7 @@ QUERIES = {
     "state_avg_stars": (_state_avg_stars, STATE_AVG),
     "state_avg_unmatched": (
         _state_avg_unmatched,
-        """select cast(quality as bigint) as state, round(avg(length(text)), 6) as chars
+        """select cast(quality as varchar) as state, round(avg(length(text)), 6) as chars
            from documents left join labels using (doc_id) group by 1""",
     ),
     "top5_states": (_top5_states, STATE_AVG + " limit 5"),

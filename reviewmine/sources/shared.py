@@ -9,6 +9,8 @@ decides about broadcasting it).
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="reviewmine-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[sc.applicationId], ignore_errors=True)
     return _LOCAL_FOLDERS[sc.applicationId]
 
 
@@ -38,6 +41,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables this application has written; results that read them must be saved before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def attach(rows: DataFrame, per_key: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
     """Join ``rows`` with a table that has one row per key, for keys of any skew.
 
