@@ -39,10 +39,10 @@ def as_dict(found):
     return {tuple(r["items"]): r.freq for r in found.collect()}
 
 
-@pytest.mark.parametrize("support", [6, 12])
-def test_all_levels(baskets, support):
+@pytest.mark.parametrize("support, crowd", [(6, 2000), (12, 8), (12, 4), (6, 1)])
+def test_all_levels(baskets, support, crowd):
     want = brute(make_pairs(), support)
-    got = itemsets.frequent_itemsets(baskets, support)
+    got = itemsets.frequent_itemsets(baskets, support, crowd=crowd)
     assert as_dict(got) == want
     assert support > 6 or max(len(c) for c in want) > 2
 
@@ -51,23 +51,24 @@ def test_no_frequent_items(baskets):
     assert itemsets.frequent_itemsets(baskets, 1000).isEmpty()
 
 
-@pytest.mark.parametrize("chunks", [1, 5])
-def test_two_passes_do_not_depend_on_chunks(baskets, chunks):
-    candidates = itemsets.son_candidates(baskets, 6, F.pmod("basket", F.lit(chunks))).cache()
-    want = brute(make_pairs(), 6)
-    assert as_dict(itemsets.son_frequent(baskets, candidates, 6)) == want
+@pytest.mark.parametrize("chunks, crowd", [(1, 2000), (3, 8)])
+def test_two_passes_do_not_depend_on_chunks(baskets, chunks, crowd):
+    candidates = itemsets.son_candidates(baskets, 12, F.pmod("basket", F.lit(chunks)), crowd).cache()
+    want = brute(make_pairs(), 12)
+    assert as_dict(itemsets.son_frequent(baskets, candidates, 12, crowd)) == want
     assert {tuple(r["items"]) for r in candidates.collect()} >= set(want)
 
 
-def test_candidates_are_the_local_sets(baskets):
-    pairs, n = make_pairs(), 3
+@pytest.mark.parametrize("crowd", [2000, 8])
+def test_candidates_are_the_local_sets(baskets, crowd):
+    pairs, n, support = make_pairs(), 3, 12
     ids = {b for b, _ in pairs}
     want = set()
     for chunk in range(n):
         part = [p for p in pairs if p[0] % n == chunk]
         size = len({b for b, _ in part})
-        want |= {c for c, k in brute(part, 1).items() if k * len(ids) >= 6 * size}
-    got = itemsets.son_candidates(baskets, 6, F.pmod("basket", F.lit(n)))
+        want |= {c for c, k in brute(part, 1).items() if k * len(ids) >= support * size}
+    got = itemsets.son_candidates(baskets, support, F.pmod("basket", F.lit(n)), crowd)
     assert {tuple(r["items"]) for r in got.collect()} == want
 
 
