@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from reviewmine.sources.shared import attach, fan_out, materialize
 
-CELLS = 1024  # values of equal frequency are ordered by hash cell
+STEPS = 4  # frequency classes per doubling
+CELLS = 1024  # values of one frequency class are ordered by hash cell
 CROWD = 1024  # a value in at most this many sets may pair them up directly
 
 
@@ -39,15 +40,17 @@ def count_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def prefixes(sets: DataFrame, sizes: DataFrame, length: Column) -> DataFrame:
     """The first ``length`` values of each set, rarest first: ``(item, value, n, before)``.
 
-    ``length`` is an expression of the set size ``n``. ``before`` counts the
-    values in front of the hash cell of the value, so a cell that straddles the
-    length is kept whole. Values found in one set only are counted as coming
-    first but left out, since they match nothing.
+    ``length`` is an expression of the set size ``n``. Values are ordered by
+    frequency class and hash cell, which gives a bounded number of places for
+    any set. ``before`` counts the values in front of the place of a value, so
+    a place that straddles the length is kept whole. Values found in one set
+    only are counted as coming first but left out, since they match nothing.
     """
-    frequency = sets.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
+    counts = sets.groupBy("value").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1)
+    frequency = counts.select("value", F.floor(STEPS * F.log2("sets")).alias("f"))
     cell = F.pmod(F.xxhash64("value"), F.lit(CELLS)).alias("cell")
     shared = materialize(attach(sets, frequency, "value").select("item", "value", "f", cell))
-    # the window runs over (frequency, cell) counts of a set, not over its values
+    # the window runs over the places of a set, not over its values
     cells = shared.groupBy("item", "f", "cell").agg(F.count(F.lit(1)).alias("k")).join(sizes, "item")
     whole = Window.partitionBy("item")
     earlier = whole.orderBy("f", "cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,7 +39,7 @@ def _neighbours(spark, folder):
 
 
 def _user_cf_neighbors(spark, folder):
-    return _whole(_rounded(_neighbours(spark, folder)[1], "w"))
+    return _whole(_neighbours(spark, folder)[1])
 
 
 def _pairs(neighbours):
@@ -49,12 +49,12 @@ def _pairs(neighbours):
 def _user_pearson(spark, folder):
     """The weights that the predictions use: those of the chosen neighbours."""
     chosen = _neighbours(spark, folder)[1]
-    return _rounded(chosen.select(F.col("user_id").alias("a"), F.col("neighbour").alias("b"), "w").distinct(), "w")
+    return chosen.select(F.col("user_id").alias("a"), F.col("neighbour").alias("b"), "w").distinct()
 
 
 def _user_cosine(spark, folder):
     train, chosen = _neighbours(spark, folder)
-    return _rounded(cosine(materialize(_pairs(chosen).distinct()), train, "user_id"), "w")
+    return cosine(materialize(_pairs(chosen).distinct()), train, "user_id")
 
 
 def _user_cf(spark, folder):
@@ -68,7 +68,7 @@ def _rmse_user_cf(spark, folder):
 
 def _item_pearson(spark, folder):
     train, test = _events(spark, folder)
-    return _rounded(rec.item_weights(train, rec.open_cells(train, test)), "w")
+    return rec.item_weights(train, rec.open_cells(train, test))
 
 
 def _order_predictions(spark, folder):
@@ -159,7 +159,7 @@ QUERIES = {
     ),
     "user_pearson": (
         _user_pearson,
-        f"with {NEAR} select distinct user_id as a, neighbour as b, round(w, 6) as w from near",
+        f"with {NEAR} select distinct user_id as a, neighbour as b, w from near",
     ),
     "user_cosine": (
         _user_cosine,
@@ -167,13 +167,13 @@ QUERIES = {
         norms as (select user_id, sqrt(sum(rating * rating)) as norm from train group by 1),
         dots as (select p.user_id as a, q.user_id as b, sum(p.rating * q.rating) as dot
                  from train p join train q using (item_id) group by 1, 2)
-        select a, b, round(round(coalesce(dot, 0) / (x.norm * y.norm), 9), 6) as w
+        select a, b, round(coalesce(dot, 0) / (x.norm * y.norm), 9) + 0.0 as w
         from (select distinct user_id as a, neighbour as b from near) left join dots using (a, b)
         join norms x on x.user_id = a join norms y on y.user_id = b""",
     ),
     "user_cf_neighbors": (
         _user_cf_neighbors,
-        f"with {NEAR} select user_id, item_id, neighbour, round(w, 6) as w, cast(rank as bigint) as rank from near",
+        f"with {NEAR} select user_id, item_id, neighbour, w, cast(rank as bigint) as rank from near",
     ),
     "user_cf_predict": (
         lambda s, d: _rounded(_user_cf(s, d), "prediction"),
@@ -181,7 +181,7 @@ QUERIES = {
     ),
     "item_pearson": (
         _item_pearson,
-        f"""with {ITEM_PAIRS} select a, b, round(w, 6) as w from weights
+        f"""with {ITEM_PAIRS} select a, b, w from weights
             join (select distinct least(item_id, other) as a, greatest(item_id, other) as b from rated) using (a, b)""",
     ),
     "item_cf_predict": (
