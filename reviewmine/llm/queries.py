@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmine.llm import bpe, chat, decontaminate, line_rules, simhash
+from reviewmine.llm import bpe, chat, decontaminate, langid, line_rules, simhash
+from reviewmine.llm.batches import held_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +27,15 @@ def _doc_id():
     return F.col("row.doc_id").alias("doc_id")
 
 
+def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text, learned from three quarters of the labelled documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", held_out("doc_id", 4))
+    model = langid.train(docs.where(~F.col("held_out")))
+    found = langid.predict(docs, model, carry=["doc_id", "held_out"])
+    return found.select(_doc_id(), "row.held_out", "out.lang_pred", "out.score")
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations formatted, and what is read back from the output."""
     said = "\\### Assistant: </turn> ok"
@@ -155,6 +165,7 @@ select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_d
 from failed"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_langid": (op1_langid, None),
     "op4_chat_format": (op4_chat_format, OP4_SQL),
     "op5_simhash": (op5_simhash, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
