@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmine.llm import bpe, chat, decontaminate, langid, line_rules, simhash
+from reviewmine.llm import bpe, chat, decontaminate, langid, line_rules, rule_quality, simhash
 from reviewmine.llm.batches import held_out
 
 
@@ -36,6 +36,16 @@ def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(_doc_id(), "row.held_out", "out.lang_pred", "out.score")
 
 
+def op2_rule_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every text, learned from three quarters of the labelled documents."""
+    docs = documents(spark, folder).withColumn("held_out", held_out("doc_id", 4))
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    model = rule_quality.train(docs.where(~F.col("held_out")), labels)
+    found = rule_quality.predict(docs, model, carry=["doc_id", "held_out"])
+    predicted = (F.col("score") >= rule_quality.PASSED).cast("int")
+    return found.select(_doc_id(), "row.held_out", "score", predicted.alias("predicted"))
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations formatted, and what is read back from the output."""
     said = "\\### Assistant: </turn> ok"
@@ -166,6 +176,7 @@ from failed"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_langid": (op1_langid, None),
+    "op2_rule_quality": (op2_rule_quality, None),
     "op4_chat_format": (op4_chat_format, OP4_SQL),
     "op5_simhash": (op5_simhash, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
