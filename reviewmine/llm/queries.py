@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmine.llm import bpe, chat, decontaminate, langid, line_rules, rule_quality, simhash
+from reviewmine.llm import bpe, chat, decontaminate, langid, line_rules, mixing_lm, rule_quality, simhash
 from reviewmine.llm.batches import held_out
 
 
@@ -174,6 +174,13 @@ select doc_id, n_words, cast(word_chars as bigint) as word_chars, n_symbols, n_d
        not base_failed and n_words - n_cut_words >= 0.3 * n_words as kept, cast(n_cut_words as bigint) as n_cut_words
 from failed"""
 
+def op9_mixing_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every text, learned from six sevenths of the documents."""
+    docs = documents(spark, folder).withColumn("held_out", held_out("doc_id", 7))
+    found = mixing_lm.score(docs, docs.where(~F.col("held_out")), carry=["doc_id", "held_out"])
+    return found.select(_doc_id(), "row.held_out", *found.columns[1:])
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_langid": (op1_langid, None),
     "op2_rule_quality": (op2_rule_quality, None),
@@ -182,4 +189,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
     "op7_bpe": (op7_bpe, None),
     "op8_line_rules": (op8_line_rules, OP8_SQL),
+    "op9_mixing_lm": (op9_mixing_lm, None),
 }
