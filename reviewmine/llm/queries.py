@@ -11,7 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmine.llm import bpe, chat, decontaminate, langid, line_rules, mixing_lm, rule_quality, simhash
+from reviewmine.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    html_text,
+    langid,
+    line_rules,
+    mixing_lm,
+    rule_quality,
+    simhash,
+    token_counts,
+)
 from reviewmine.llm.batches import held_out
 
 
@@ -46,6 +57,13 @@ def op2_rule_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(_doc_id(), "row.held_out", "score", predicted.alias("predicted"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_text.main_text(pages, carry=["page_id", "url"])
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations formatted, and what is read back from the output."""
     said = "\\### Assistant: </turn> ok"
@@ -181,13 +199,20 @@ def op9_mixing_lm(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(_doc_id(), "row.held_out", *found.columns[1:])
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every text under a unigram tokenizer, and their summed scores."""
+    return token_counts.count_tokens(documents(spark, folder), carry=["doc_id"]).select(_doc_id(), "out.*")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_langid": (op1_langid, None),
     "op2_rule_quality": (op2_rule_quality, None),
+    "op3_html_text": (op3_html_text, None),
     "op4_chat_format": (op4_chat_format, OP4_SQL),
     "op5_simhash": (op5_simhash, None),
     "op6_decontaminate": (op6_decontaminate, OP6_SQL),
     "op7_bpe": (op7_bpe, None),
     "op8_line_rules": (op8_line_rules, OP8_SQL),
     "op9_mixing_lm": (op9_mixing_lm, None),
+    "op10_token_counts": (op10_token_counts, None),
 }
