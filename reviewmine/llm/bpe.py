@@ -57,6 +57,8 @@ class Bpe:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each non-empty word; all words advance together, one pair a round."""
+        if not words:
+            return []
         never = len(self.merged)
         lengths = np.array([len(word) for word in words])
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
@@ -83,8 +85,6 @@ class Bpe:
             keep = np.ones(len(ids), bool)
             keep[hits + 1] = False
             ids, word = ids[keep], word[keep]
-        if not done_ids:
-            return []
         ids, word = np.concatenate(done_ids), np.concatenate(done_words)
         ids = ids[np.argsort(word, kind="stable")]
         cuts = np.cumsum(np.bincount(word, minlength=len(words)))[:-1]
