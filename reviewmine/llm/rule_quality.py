@@ -10,8 +10,9 @@ of their key; scoring covers every row.
 
 Defined results: a null text counts as an empty one, whose statistics are all
 zero; labels other than 0 and 1 (null too) are not learned from; without both
-labels the score is the share of label 1, or 0.5 if there are none; equal texts
-get equal scores; an empty table gives none.
+labels, or if the sample is too small for any rule, the score is the share of
+label 1, or 0.5 if there are none; equal texts get equal scores; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -167,6 +168,8 @@ def train(
         numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, featureSubsetStrategy="onethird", minInstancesPerNode=5
     ).fit(vectors.select("label", "features"))
     rules = sorted(set().union(*(tree_rules(tree.toDebugString) for tree in forest.trees)))
+    if not rules:
+        return Ensemble(math.log(counts[1.0] / counts[0.0]), {})
     statistic = [F.col(name) for name in STATISTICS]
     held = F.array(*(holds(rule, statistic).cast("double") for rule in rules))
     fitted = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=100, standardization=False).fit(
