@@ -1,4 +1,4 @@
-"""Positions in a total order, dense ids and sorted lists, without a one-task window.
+"""Positions in a total order and within keys, and dense ids, without a one-task window.
 
 ``ranked`` range-partitions the rows, so every task holds one slice of the
 order; a slice knows its own positions and only the per-slice row counts (one
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from reviewmine.sources.shared import attach, materialize
 
-LIST_ROWS = 1000
-
 
 def _slices(df: DataFrame, *order: str | Column) -> DataFrame:
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -59,17 +57,11 @@ def dense_index(df: DataFrame, column: str) -> DataFrame:
     return ranked(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
 
 
-def sorted_lists(df: DataFrame, key: str, value: str, rows: int = LIST_ROWS) -> DataFrame:
-    """The distinct values of each key as sorted lists ``(key, part, items)``.
+def listed(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The distinct values of each key in order: ``(key, position, value)``, positions from 0.
 
-    A key with more than ``rows`` values gets several numbered parts, so no
-    task ever holds a whole large group; the parts in order are the whole list.
+    One row per value, so that a key may have any number of them.
     """
     pairs = ranked(df.select(key, value).distinct(), key, value, name="_pos")
     first = pairs.groupBy(key).agg(F.min("_pos").alias("_first"))
-    return (
-        attach(pairs, first, key)
-        .withColumn("part", F.floor((F.col("_pos") - F.col("_first")) / rows).cast("bigint"))
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(value)).alias("items"))
-    )
+    return attach(pairs, first, key).select(key, (F.col("_pos") - F.col("_first")).alias("position"), value)

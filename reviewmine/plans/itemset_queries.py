@@ -6,10 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from reviewmine.functions.ordering import sorted_lists
+from reviewmine.functions.ordering import listed
 from reviewmine.operators import itemsets
 from reviewmine.plans import views
-from reviewmine.plans.profile_queries import _joined, _lists_sql
+from reviewmine.plans.profile_queries import listed_sql
 from reviewmine.plans.views import BASKETS
 from reviewmine.sources.shared import materialize
 from reviewmine.sources.writers import itemset_report
@@ -90,20 +90,19 @@ def _level_sql(size: int) -> str:
 
 def _line(kind: str, view: str) -> str:
     text = "'(' || list_aggr(list_transform(string_split(items, ','), lambda i: '''' || i || ''''), 'string_agg', ', ') || ')'"
-    return f"""select '{kind}' as section, size, cast((rn - 1) // 1000 as bigint) as part,
-        string_agg({text}, ',' order by string_split(items, ',')) as line
-      from (select *, row_number() over (partition by size order by string_split(items, ',')) as rn from {view})
-      group by 1, 2, 3"""
+    return f"""select '{kind}' as section, size,
+        row_number() over (partition by size order by string_split(items, ',')) - 1 as position, {text} as itemset
+      from {view}"""
 
 
 QUERIES = {
     "baskets_by_key": (
-        lambda s, d: _joined(sorted_lists(itemsets.make_baskets(views.baskets(s, d), 1), "basket", "item"), "basket"),
-        _lists_sql(BASKETS, "basket", "item", "baskets"),
+        lambda s, d: listed(itemsets.make_baskets(views.baskets(s, d), 1), "basket", "item"),
+        listed_sql(BASKETS, "basket", "item", "baskets"),
     ),
     "baskets_by_item": (
-        lambda s, d: _joined(sorted_lists(itemsets.make_baskets(views.baskets(s, d), 2), "basket", "item"), "basket"),
-        _lists_sql(
+        lambda s, d: listed(itemsets.make_baskets(views.baskets(s, d), 2), "basket", "item"),
+        listed_sql(
             BASKETS + ", turned as (select item as basket, basket as item from baskets)", "basket", "item", "turned"
         ),
     ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewmine.functions.columns import clamp_rating
-from reviewmine.functions.ordering import dense_index, sorted_lists
+from reviewmine.functions.ordering import dense_index, listed
 from reviewmine.operators import profile
 from reviewmine.plans import views
 from reviewmine.plans.views import RATINGS, REVIEWS, SALES, SELLERS, TEXTS
@@ -40,16 +40,12 @@ def _review_profile(spark, folder):
     )
 
 
-def _joined(lists, key):
-    return lists.select(key, "part", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"))
-
-
 def _state_business_list(spark, folder):
-    return _joined(sorted_lists(views.sellers(spark, folder), "state", "business_id"), "state")
+    return listed(views.sellers(spark, folder), "state", "business_id")
 
 
 def _user_item_sets(spark, folder):
-    return _joined(sorted_lists(views.ratings(spark, folder), "user_id", "item_id"), "user_id")
+    return listed(views.ratings(spark, folder), "user_id", "item_id")
 
 
 def _rating_clamp(spark, folder):
@@ -73,12 +69,10 @@ def _common_items_pair(spark, folder):
     return _rounded(profile.common_values(rows, "user_id", "item_id", first, second), "similarity")
 
 
-def _lists_sql(view: str, key: str, value: str, source: str) -> str:
-    return f"""with {view},
-    pos as (select *, row_number() over (partition by {key} order by {value}) as rn
-            from (select distinct {key}, {value} from {source}))
-    select {key}, cast((rn - 1) // 1000 as bigint) as part, string_agg({value}::varchar, ',' order by {value}) as items
-    from pos group by 1, 2"""
+def listed_sql(view: str, key: str, value: str, source: str) -> str:
+    return f"""with {view}
+    select {key}, row_number() over (partition by {key} order by {value}) - 1 as position, {value}
+    from (select distinct {key}, {value} from {source})"""
 
 
 STATE_AVG = f"""with {SALES}, {SELLERS}
@@ -163,8 +157,8 @@ QUERIES = {
         lambda s, d: _rounded(profile.stars_sum(views.sales(s, d)), "stars"),
         f"with {SALES} select business_id, round(sum(stars), 6) as stars from sales group by 1",
     ),
-    "state_business_list": (_state_business_list, _lists_sql(SELLERS, "state", "business_id", "sellers")),
-    "user_item_sets": (_user_item_sets, _lists_sql(RATINGS, "user_id", "item_id", "ratings")),
+    "state_business_list": (_state_business_list, listed_sql(SELLERS, "state", "business_id", "sellers")),
+    "user_item_sets": (_user_item_sets, listed_sql(RATINGS, "user_id", "item_id", "ratings")),
     "user_degree": (
         lambda s, d: profile.degree(views.ratings(s, d), "user_id", "item_id"),
         f"with {RATINGS} select user_id, cast(count(distinct item_id) as bigint) as n from ratings group by 1",
