@@ -17,9 +17,9 @@ from reviewmine.sources.shared import materialize
 BATCH_CELLS = 2_000_000_000  # (root, node) cells searched at a time
 
 
-def co_review_graph(pairs: DataFrame, threshold: int, **limits: int) -> DataFrame:
+def co_review_graph(pairs: DataFrame, threshold: int) -> DataFrame:
     """Edges ``(src, dst)`` between users with at least ``threshold`` businesses in common."""
-    return overlapping_pairs(pairs, threshold, **limits).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return overlapping_pairs(pairs, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def arcs(edges: DataFrame) -> DataFrame:

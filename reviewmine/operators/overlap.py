@@ -1,23 +1,45 @@
 """Joins of sets by what they share: exact counts, overlap thresholds, prefixes.
 
-Sets are a long table ``(item, value)`` without duplicates. No operator here
-pairs up all members of an unbounded group: a frequent value is left to the
-prefix filter, which orders the values of every set from rare to frequent and
-joins on the first few only. Two sets with enough in common must share one of
-those, so nothing is lost, and the frequent values stand at the end of the
-order where they are not used.
+Sets are a long table ``(item, value)`` without duplicates. Pairs are found by a
+prefix filter: the values of every set are ordered from rare to frequent, and
+sets are joined on the first few only. Two sets with enough in common must share
+one of those, so nothing is lost, and frequent values mostly stand at the end of
+the order where they are not used. Joins of many rows with many rows of a key
+are divided by the number of rows they make (``product_join``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmine.sources.shared import attach, fan_out, materialize
+from reviewmine.sources.shared import attach, materialize
 
 STEPS = 4  # frequency classes per doubling
 CELLS = 1024  # values of one frequency class are ordered by hash cell
-CROWD = 1024  # a value in at most this many sets may pair them up directly
+PER_TASK = 1_000_000  # rows that one key of a join makes in one task
+
+
+def product_join(left: DataFrame, right: DataFrame, keys: Sequence[str], per_task: int = PER_TASK) -> DataFrame:
+    """Inner join where both sides may have many rows of a key.
+
+    Adaptive execution divides a key by the bytes it reads, but the work here is
+    in the rows it makes. So a key that makes more than ``per_task`` rows is
+    divided beforehand: its left rows are dealt to parts by hash, and its right
+    rows are repeated for each of them.
+    """
+    keys = list(keys)
+    some = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
+    more = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
+    heavy = some.join(more, keys).where(F.col("_l") * F.col("_r") > per_task)
+    parts = F.ceil(F.col("_l") * F.col("_r") / per_task).cast("int").alias("_parts")
+    heavy = materialize(heavy.select(*keys, parts))
+    number = F.coalesce("_parts", F.lit(1))
+    mine = left.join(heavy, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), number).cast("int"))
+    every = right.join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), number - 1)))
+    return mine.drop("_parts").join(every.drop("_parts"), [*keys, "_part"]).drop("_part")
 
 
 def count_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -29,7 +51,7 @@ def count_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     large = F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a"))
     walk = pairs.select("a", "b", small.alias("item"), large.alias("other"))
     return (
-        walk.join(sets, "item")
+        product_join(walk, sets, ["item"])
         .select("a", "b", F.col("other").alias("item"), "value")
         .join(sets, ["item", "value"])
         .groupBy("a", "b")
@@ -60,45 +82,18 @@ def prefixes(sets: DataFrame, sizes: DataFrame, length: Column) -> DataFrame:
     return shared.join(cells, ["item", "f", "cell"]).select("item", "value", "n", "before")
 
 
-def _count_direct(sets: DataFrame) -> DataFrame:
-    """Common values of all pairs that share one; only for values in a bounded number of sets."""
-    spread = fan_out(sets, "value")
-    left = spread.select(F.col("item").alias("a"), "value")
-    right = spread.select(F.col("item").alias("b"), "value")
-    return left.join(right, "value").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-
-
-def overlapping_pairs(pairs: DataFrame, at_least: int, crowd: int = CROWD) -> DataFrame:
+def overlapping_pairs(pairs: DataFrame, at_least: int) -> DataFrame:
     """Pairs of keys ``(a, b, common)`` that share at least so many distinct values.
 
-    ``pairs`` has the columns (key, value). Values in up to ``crowd`` sets are
-    counted by a join on the value. Crowded values only count for pairs that
-    are already found, or that the prefix filter finds among the crowded values.
+    ``pairs`` has the columns (key, value).
     """
     key, value = pairs.columns[:2]
     sets = pairs.select(F.col(key).alias("item"), F.col(value).alias("value")).dropna().distinct()
     sets = materialize(sets)
-    enough = F.col("common") >= at_least
-    frequency = sets.groupBy("value").agg(F.count(F.lit(1)).alias("f"))
-    crowded = materialize(frequency.where(F.col("f") > crowd).select("value"))
-    if crowded.isEmpty():
-        return _count_direct(sets).where(enough)
-
-    known = _count_direct(sets.join(crowded, "value", "left_anti"))
-    many = materialize(sets.join(crowded, "value", "left_semi"))
-    sizes = many.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    first = prefixes(many, sizes, F.col("n") - at_least + 1)
-    left = first.select(F.col("item").alias("a"), "value")
-    right = first.select(F.col("item").alias("b"), "value")
-    unknown = left.join(right, "value").where("a < b").select("a", "b", F.lit(0).cast("bigint").alias("common"))
-    found = known.unionByName(unknown.distinct()).groupBy("a", "b").agg(F.max("common").alias("some"))
-    found = (
-        found.join(sizes.toDF("a", "na"), "a", "left")
-        .join(sizes.toDF("b", "nb"), "b", "left")
-        .na.fill(0, ["na", "nb"])
-        .where(F.col("some") + F.least("na", "nb") >= at_least)
-    )
-    found = materialize(found)
-    rest = count_common(found.where(F.least("na", "nb") > 0), many)
-    total = F.col("some") + F.coalesce("common", F.lit(0))
-    return found.join(rest, ["a", "b"], "left").select("a", "b", total.alias("common")).where(enough)
+    sizes = materialize(sets.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least))
+    rows = attach(sets, sizes.select("item"), "item", "left_semi")
+    first = materialize(prefixes(rows, sizes, F.col("n") - at_least + 1).select("item", "value", "n"))
+    left = first.select("value", F.col("item").alias("a"), F.col("n").alias("na"))
+    right = first.select("value", F.col("item").alias("b"), F.col("n").alias("nb"))
+    found = product_join(left, right, ["value"]).where("a < b").select("a", "b", "na", "nb").distinct()
+    return count_common(materialize(found), sets).where(F.col("common") >= at_least)

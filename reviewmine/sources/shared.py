@@ -11,26 +11,24 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_OWN: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="reviewmine-")
-        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[sc.applicationId], ignore_errors=True)
-    return _LOCAL_FOLDERS[sc.applicationId]
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    local = f"{folder}/{spark.sparkContext.applicationId}".removeprefix("file:")
+    if local.startswith("/") and local not in _OWN:
+        _OWN.add(local)
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -60,9 +58,11 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: str | list[str], how: str
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash ``df`` into the session's number of shuffle partitions and keep that number.
+    """Hash ``df`` into the session's number of shuffle partitions, if it has fewer.
 
-    For tables that are small by size but start heavy work, such as joins with
-    many matches: sized by bytes alone, they would end up in a few tasks.
+    For tables that are small by size but start heavy work: sized by bytes
+    alone, they would end up in a few tasks. A large table has enough splits of
+    its own and is not moved.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
