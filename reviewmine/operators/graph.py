@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmine.operators.overlap import overlapping_pairs
-from reviewmine.sources.shared import materialize
+from reviewmine.sources.shared import materialize, new_path
 
 BATCH_CELLS = 2_000_000_000  # (root, node) cells searched at a time
 
@@ -39,10 +39,11 @@ def _levels(roots: DataFrame, steps: DataFrame) -> list[DataFrame]:
     A step from one level leads to the next, the same or the previous level, so
     only those two have to be excluded.
     """
-    start = roots.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("sigma"))
+    one = F.lit(1).cast("decimal(38,0)")  # path counts are whole numbers; one of 39 digits fails the job
+    start = roots.select(F.col("node").alias("root"), "node", one.alias("sigma"))
     levels = [materialize(start)]
     while True:
-        reached = levels[-1].join(steps, "node").groupBy("root", "next").agg(F.sum("sigma").alias("sigma"))
+        reached = levels[-1].join(steps, "node").groupBy("root", "next").agg(F.sum("sigma").cast("decimal(38,0)").alias("sigma"))
         reached = reached.withColumnRenamed("next", "node")
         near = reduce(DataFrame.unionByName, [level.select("root", "node") for level in levels[-2:]])
         level = materialize(reached.join(near, ["root", "node"], "left_anti"))
@@ -59,14 +60,16 @@ def _batches(edges: DataFrame) -> list[DataFrame]:
     return [nodes.where(F.pmod(F.xxhash64("node"), F.lit(n)) == i) for i in range(n)]
 
 
-def shortest_paths(edges: DataFrame) -> DataFrame:
-    """``(root, node, level, sigma)`` for all pairs that are connected, each root itself at level 0."""
-    steps = arcs(edges)
-    found = [
-        level.withColumn("level", F.lit(i))
-        for roots in _batches(edges)
-        for i, level in enumerate(_levels(roots, steps))
-    ]
+def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``(root, node, level, sigma)`` for what the roots reach, each root itself at level 0.
+
+    ``roots`` has a column ``node``; without it, the smallest node of each component is one.
+    """
+    if roots is None:
+        labels = connected_components(edges)
+        roots = materialize(labels.select(F.col("component").alias("node")).distinct())
+    levels = _levels(roots, arcs(edges))
+    found = [level.withColumn("level", F.lit(i)) for i, level in enumerate(levels)]
     return reduce(DataFrame.unionByName, found).select("root", "node", "level", "sigma")
 
 
@@ -77,26 +80,28 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     from below to its parents, split by their path counts.
     """
     steps = arcs(edges)
-    flows = []
+    sums = new_path(edges.sparkSession)
     for roots in _batches(edges):
         levels = _levels(roots, steps)
-        below = None
+        below, flows = None, []
         for parents, level in zip(levels[-2::-1], levels[:0:-1], strict=True):
             credit: Column = F.lit(1.0)
             if below is not None:
                 got = below.groupBy("root", F.col("parent").alias("node")).agg(F.sum("flow").alias("got"))
                 level = level.join(got, ["root", "node"], "left")
                 credit = 1.0 + F.coalesce("got", F.lit(0.0))
-            up = level.select("root", "node", (credit / F.col("sigma")).alias("share"))
+            up = level.select("root", "node", (credit / F.col("sigma").cast("double")).alias("share"))
             up = up.join(steps, "node").withColumnRenamed("next", "parent")
             above = parents.select("root", F.col("node").alias("parent"), "sigma")
             flow = up.join(above, ["root", "parent"])
-            below = materialize(flow.select("root", "node", "parent", (F.col("share") * F.col("sigma")).alias("flow")))
+            below = materialize(flow.select("root", "node", "parent", (F.col("share") * F.col("sigma").cast("double")).alias("flow")))
             flows.append(below.groupBy(*_edge("node", "parent")).agg(F.sum("flow").alias("flow")))
-    if not flows:
-        return edges.select("src", "dst", F.lit(0.0).alias("betweenness"))
+        flows = flows or [edges.select("src", "dst", F.lit(0.0).alias("flow"))]
+        # a batch leaves one sum per edge, so the plan does not grow with the number of batches
+        summed = reduce(DataFrame.unionByName, flows).groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
+        summed.write.mode("append").parquet(sums)
     total = (F.sum("flow") / 2).alias("betweenness")
-    return reduce(DataFrame.unionByName, flows).groupBy("src", "dst").agg(total)
+    return edges.sparkSession.read.parquet(sums).groupBy("src", "dst").agg(total)
 
 
 def _edge(a: str, b: str) -> list[Column]:

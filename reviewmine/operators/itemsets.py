@@ -2,8 +2,9 @@
 
 Baskets are a long table ``(basket, item)``. Itemsets are sorted arrays. Every
 level is a few joins that stay within a basket; what leaves a task is a partial
-count per itemset. Only items that are frequent themselves take part, and
-baskets with very many of those are set apart.
+count per itemset. Only items that are frequent themselves take part, a level
+only grows from sets that are frequent, and a basket with very many sets is
+divided among tasks by the rows it makes.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewmine.operators.overlap import product_join
 from reviewmine.sources.shared import attach, materialize
 
 Enough = Callable[[DataFrame], DataFrame]  # keeps the rows whose ``freq`` suffices
-CROWD = 2000  # baskets with more frequent items than this are looked up instead of extended
 
 
 def make_baskets(pairs: DataFrame, case: int = 1) -> DataFrame:
@@ -44,7 +45,7 @@ def frequent_items(baskets: DataFrame, support: int) -> DataFrame:
 def _extend(found: DataFrame, kept: DataFrame) -> DataFrame:
     """Each occurrence of a set in a basket, once per larger item of the same basket."""
     return (
-        found.join(kept, ["chunk", "basket"])
+        product_join(found, kept, ["chunk", "basket"])
         .where(F.col("item") > F.element_at("items", -1))
         .select("chunk", "basket", F.concat("items", F.array("item")).alias("items"))
     )
@@ -118,71 +119,14 @@ def _count_levels(
     return whole.select("chunk", F.size("items").alias("size"), "items", "freq")
 
 
-def _contained(sets: DataFrame, baskets: DataFrame) -> DataFrame:
-    """In how many baskets each given set is contained: ``(chunk, items, held)``."""
-    parts = sets.select("chunk", "items", F.explode("items").alias("item"))
-    hits = parts.join(baskets, ["chunk", "item"]).groupBy("chunk", "items", "basket").agg(F.count(F.lit(1)).alias("n"))
-    whole = hits.where(F.col("n") == F.size("items"))
-    return whole.groupBy("chunk", "items").agg(F.count(F.lit(1)).alias("held"))
-
-
-def _mine(
-    baskets: DataFrame,
-    enough: Enough,
-    candidates: DataFrame | None = None,
-    max_size: int | None = None,
-    crowd: int = CROWD,
-) -> DataFrame:
-    """``_count_levels``, with baskets of more than ``crowd`` frequent items set apart.
-
-    Such baskets would pair up very many items. A set that is frequent with
-    their help misses at most their number in the other baskets; so those are
-    mined with a lower bound, and the sets found are looked up in the crowded
-    baskets. Where crowded baskets alone could make a set frequent, all baskets
-    are mined alike.
-    """
-
-    def crowded(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("chunk", "basket").agg(F.count(F.lit(1)).alias("n"))
-        return materialize(sizes.where(F.col("n") > crowd).select("chunk", "basket"))
-
-    def direct() -> DataFrame:
-        return _count_levels(baskets, enough, candidates, max_size)
-
-    large = crowded(baskets)
-    if large.isEmpty():
-        return direct()
-    single = baskets.groupBy("chunk", "item").agg(F.count(F.lit(1)).alias("freq"))
-    baskets = materialize(attach(baskets, enough(single).select("chunk", "item"), ["chunk", "item"], "left_semi"))
-    large = crowded(baskets)
-    lowered = materialize(large.groupBy("chunk").agg(F.count(F.lit(1)).alias("large")))
-    if large.isEmpty() or not enough(lowered.withColumnRenamed("large", "freq")).isEmpty():
-        return direct()
-
-    def nearly(counts: DataFrame) -> DataFrame:
-        # at most one row per chunk
-        raised = counts.join(F.broadcast(lowered), "chunk", "left").na.fill(0, ["large"])
-        kept = enough(raised.withColumn("freq", F.col("freq") + F.col("large")))
-        return kept.withColumn("freq", F.col("freq") - F.col("large")).drop("large")
-
-    normal = materialize(baskets.join(large, ["chunk", "basket"], "left_anti"))
-    found = _count_levels(normal, nearly, candidates, max_size)
-    held = _contained(found, materialize(baskets.join(large, ["chunk", "basket"], "left_semi")))
-    total = F.col("freq") + F.coalesce("held", F.lit(0))
-    counted = found.join(held, ["chunk", "items"], "left").withColumn("freq", total)
-    return enough(counted.select("chunk", "size", "items", "freq"))
-
-
-def frequent_itemsets(
-    baskets: DataFrame, support: int, max_size: int | None = None, crowd: int = CROWD
-) -> DataFrame:
+def frequent_itemsets(baskets: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
     """All itemsets in at least ``support`` baskets: ``(size, items, freq)``."""
     enough = lambda counts: counts.where(F.col("freq") >= support)
-    found = _mine(baskets.withColumn("chunk", F.lit(0)), enough, max_size=max_size, crowd=crowd)
+    found = _count_levels(baskets.withColumn("chunk", F.lit(0)), enough, max_size=max_size)
     return found.drop("chunk")
 
 
-def son_candidates(baskets: DataFrame, support: int, chunk: Column, crowd: int = CROWD) -> DataFrame:
+def son_candidates(baskets: DataFrame, support: int, chunk: Column) -> DataFrame:
     """First pass: sets frequent within some chunk, at the share of the support the chunk has.
 
     ``chunk`` assigns every basket to one of a fixed number of chunks. The share
@@ -197,13 +141,13 @@ def son_candidates(baskets: DataFrame, support: int, chunk: Column, crowd: int =
         joined = counts.join(F.broadcast(sizes), "chunk")
         return joined.where(F.col("freq") * total >= support * F.col("part")).drop("part")
 
-    local = _mine(chunked, enough, crowd=crowd)
+    local = _count_levels(chunked, enough)
     return local.select("size", "items").distinct()
 
 
-def son_frequent(baskets: DataFrame, candidates: DataFrame, support: int, crowd: int = CROWD) -> DataFrame:
+def son_frequent(baskets: DataFrame, candidates: DataFrame, support: int) -> DataFrame:
     """Second pass: exact counts of the candidates over all baskets."""
     listed = candidates.select(F.lit(0).alias("chunk"), "items")
     enough = lambda counts: counts.where(F.col("freq") >= support)
-    found = _mine(baskets.withColumn("chunk", F.lit(0)), enough, candidates=listed, crowd=crowd)
+    found = _count_levels(baskets.withColumn("chunk", F.lit(0)), enough, candidates=listed)
     return found.drop("chunk")

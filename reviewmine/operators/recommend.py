@@ -98,9 +98,9 @@ def predict_from_users(train: DataFrame, targets: DataFrame, neighbours: DataFra
     return predicted.select(*CELL, cap_rating(F.col("mean") + F.coalesce(shift, F.lit(0.0))).alias("prediction"))
 
 
-def predict_user_based(train: DataFrame, test: DataFrame, n: int = NEIGHBOURS, **limits: int) -> DataFrame:
+def predict_user_based(train: DataFrame, test: DataFrame, n: int = NEIGHBOURS) -> DataFrame:
     known, targets = _known_and_open(train, test)
-    neighbours = user_neighbours(train, targets, n, **limits)
+    neighbours = user_neighbours(train, targets, n)
     return known.unionByName(predict_from_users(train, targets, neighbours))
 
 

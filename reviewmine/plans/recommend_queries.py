@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewmine.operators import recommend as rec
 from reviewmine.operators.correlation import cosine
-from reviewmine.operators.neighbours import NEIGHBOURS, user_neighbours
+from reviewmine.operators.neighbours import NEIGHBOURS, asked_pairs, user_neighbours, user_weights
 from reviewmine.operators.profile import latest_ratings
 from reviewmine.plans import views
 from reviewmine.plans.views import ORDER_SPLIT, RATING_SPLIT
@@ -42,19 +42,23 @@ def _user_cf_neighbors(spark, folder):
     return _whole(_neighbours(spark, folder)[1])
 
 
-def _pairs(neighbours):
-    return neighbours.select(F.col("user_id").alias("a"), F.col("neighbour").alias("b"))
+def _asked(spark, folder):
+    """Every user with an open cell, paired with each rater of its item."""
+    train, test = _events(spark, folder)
+    targets = materialize(rec.open_cells(train, test).select("user_id", "item_id"))
+    pairs = asked_pairs(train, targets).select("user_id", "neighbour").distinct()
+    return train, targets, materialize(pairs)
 
 
 def _user_pearson(spark, folder):
-    """The weights that the predictions use: those of the chosen neighbours."""
-    chosen = _neighbours(spark, folder)[1]
-    return chosen.select(F.col("user_id").alias("a"), F.col("neighbour").alias("b"), "w").distinct()
+    train, targets, pairs = _asked(spark, folder)
+    found = pairs.join(user_weights(train, targets), ["user_id", "neighbour"])
+    return found.select(F.col("user_id").alias("a"), F.col("neighbour").alias("b"), "w")
 
 
 def _user_cosine(spark, folder):
-    train, chosen = _neighbours(spark, folder)
-    return cosine(materialize(_pairs(chosen).distinct()), train, "user_id")
+    train, _, pairs = _asked(spark, folder)
+    return cosine(pairs.toDF("a", "b"), train, "user_id")
 
 
 def _user_cf(spark, folder):
@@ -113,6 +117,9 @@ NEAR = f"""{CELLS}, {_pearson_sql('user_id', 'item_id')},
              row_number() over (partition by c.user_id, c.item_id order by w desc, r.user_id) as rank
       from cells c join train r on r.item_id = c.item_id join weights on a = c.user_id and b = r.user_id
       where c.rating is null) where rank <= {NEIGHBOURS})"""
+ASKED = f"""{CELLS}, {_pearson_sql('user_id', 'item_id')},
+  asked as (
+    select distinct c.user_id as a, r.user_id as b from cells c join train r on r.item_id = c.item_id where c.rating is null)"""
 USER_CF = f"""{NEAR},
   votes as (
     select v.user_id, v.item_id, sum(w * (v.rating - (total - v.rating) / (n - 1))) as shift, sum(abs(w)) as weight
@@ -159,16 +166,16 @@ QUERIES = {
     ),
     "user_pearson": (
         _user_pearson,
-        f"with {NEAR} select distinct user_id as a, neighbour as b, w from near",
+        f"with {ASKED} select a, b, w from asked join weights using (a, b)",
     ),
     "user_cosine": (
         _user_cosine,
-        f"""with {NEAR},
+        f"""with {ASKED},
         norms as (select user_id, sqrt(sum(rating * rating)) as norm from train group by 1),
         dots as (select p.user_id as a, q.user_id as b, sum(p.rating * q.rating) as dot
                  from train p join train q using (item_id) group by 1, 2)
         select a, b, round(coalesce(dot, 0) / (x.norm * y.norm), 9) + 0.0 as w
-        from (select distinct user_id as a, neighbour as b from near) left join dots using (a, b)
+        from asked left join dots using (a, b)
         join norms x on x.user_id = a join norms y on y.user_id = b""",
     ),
     "user_cf_neighbors": (
@@ -196,6 +203,12 @@ QUERIES = {
             from cells join means using (user_id)""",
     ),
     "als_predict": (lambda s, d: rec.predict_als(*_events(s, d)), None),
+    "als_coverage": (
+        lambda s, d: rec.predict_als(*_events(s, d)).select(
+            "user_id", "item_id", (~F.isnan("prediction") & F.col("prediction").isNotNull()).alias("predicted")
+        ),
+        f"with {CELLS} select user_id, item_id, true as predicted from cells",
+    ),
     "rmse_user_mean": (
         _rmse_user_mean,
         f"""with {ORDER_PREDICTIONS} select round(sqrt(avg(pow(rating - prediction, 2))), 6) as rmse

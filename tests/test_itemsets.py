@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
-from reviewmine.operators import itemsets
+from reviewmine.operators import itemsets, overlap
 
 
 def make_pairs(seed=5, baskets=60, items=9):
@@ -39,10 +39,11 @@ def as_dict(found):
     return {tuple(r["items"]): r.freq for r in found.collect()}
 
 
-@pytest.mark.parametrize("support, crowd", [(6, 2000), (12, 8), (12, 4), (6, 1)])
-def test_all_levels(baskets, support, crowd):
+@pytest.mark.parametrize("support, per_task", [(6, 1_000_000), (12, 20)])
+def test_all_levels(baskets, support, per_task, monkeypatch):
+    monkeypatch.setattr(overlap.product_join, "__defaults__", (per_task,))
     want = brute(make_pairs(), support)
-    got = itemsets.frequent_itemsets(baskets, support, crowd=crowd)
+    got = itemsets.frequent_itemsets(baskets, support)
     assert as_dict(got) == want
     assert support > 6 or max(len(c) for c in want) > 2
 
@@ -51,16 +52,14 @@ def test_no_frequent_items(baskets):
     assert itemsets.frequent_itemsets(baskets, 1000).isEmpty()
 
 
-@pytest.mark.parametrize("chunks, crowd", [(1, 2000), (3, 8)])
-def test_two_passes_do_not_depend_on_chunks(baskets, chunks, crowd):
-    candidates = itemsets.son_candidates(baskets, 12, F.pmod("basket", F.lit(chunks)), crowd).cache()
+def test_two_passes_do_not_depend_on_chunks(baskets, chunks=3):
+    candidates = itemsets.son_candidates(baskets, 12, F.pmod("basket", F.lit(chunks))).cache()
     want = brute(make_pairs(), 12)
-    assert as_dict(itemsets.son_frequent(baskets, candidates, 12, crowd)) == want
+    assert as_dict(itemsets.son_frequent(baskets, candidates, 12)) == want
     assert {tuple(r["items"]) for r in candidates.collect()} >= set(want)
 
 
-@pytest.mark.parametrize("crowd", [2000, 8])
-def test_candidates_are_the_local_sets(baskets, crowd):
+def test_candidates_are_the_local_sets(baskets):
     pairs, n, support = make_pairs(), 3, 12
     ids = {b for b, _ in pairs}
     want = set()
@@ -68,7 +67,7 @@ def test_candidates_are_the_local_sets(baskets, crowd):
         part = [p for p in pairs if p[0] % n == chunk]
         size = len({b for b, _ in part})
         want |= {c for c, k in brute(part, 1).items() if k * len(ids) >= support * size}
-    got = itemsets.son_candidates(baskets, support, F.pmod("basket", F.lit(n)), crowd)
+    got = itemsets.son_candidates(baskets, support, F.pmod("basket", F.lit(n)))
     assert {tuple(r["items"]) for r in got.collect()} == want
 
 
@@ -87,3 +86,10 @@ def test_agrees_with_fp_growth(baskets):
     model = FPGrowth(itemsCol="items", minSupport=(support - 0.5) / n).fit(lists)
     other = {tuple(sorted(r["items"])): r.freq for r in model.freqItemsets.collect() if r.freq >= support}
     assert as_dict(itemsets.frequent_itemsets(baskets, support)) == other
+
+
+def test_large_baskets_below_the_support(spark):
+    """One basket too few: 3,000 items that would make very many sets are gone after the first level."""
+    large = spark.range(4).withColumnRenamed("id", "basket").join(spark.range(3000).select(F.format_string("i%d", "id").alias("item")))
+    small = spark.range(10, 16).select(F.col("id").alias("basket"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("item"))
+    assert as_dict(itemsets.frequent_itemsets(large.unionByName(small), 5)) == {("x",): 6, ("y",): 6, ("x", "y"): 6}

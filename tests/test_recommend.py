@@ -19,10 +19,9 @@ def table(spark, text):
     return spark.createDataFrame([(u, b, float(r)) for u, b, r in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("limits", [{}, {"crowd": 0}, {"crowd": 0, "block_users": 2}])
-def test_user_based_example(spark, limits):
+def test_user_based_example(spark):
     test = spark.createDataFrame([("u1", "b2", 3.99), ("u1", "b1", 1.0), ("u9", "b1", 2.0)], SCHEMA)
-    got = rec.predict_user_based(table(spark, USER_CASE), test, **limits)
+    got = rec.predict_user_based(table(spark, USER_CASE), test)
     values = {(r.user_id, r.item_id): r.prediction for r in got.collect()}
     assert values == {("u1", "b2"): pytest.approx(3.9997, abs=5e-5), ("u1", "b1"): 4.0}
 
@@ -62,13 +61,12 @@ def neighbours_by_hand(rated, u, i, n):
     return sorted((-w, v) for v, w, both in scored if both)[:n]
 
 
-@pytest.mark.parametrize("limits", [{"crowd": 1000}, {"crowd": 0, "block_users": 8}, {"crowd": 12, "block_users": 100}])
-def test_neighbours(spark, limits):
+def test_neighbours(spark):
     train = spark.createDataFrame([(u, i, r) for (u, i), r in RATED.items()], LONGS)
     cells = [(u, i) for u in range(30) for i in range(14) if (u, i) not in RATED and (u + i) % 3 == 0]
     targets = spark.createDataFrame(cells, "user_id long, item_id long")
     got = {}
-    for r in user_neighbours(train, targets, 5, **limits).collect():
+    for r in user_neighbours(train, targets, 5).collect():
         got.setdefault((r.user_id, r.item_id), {})[r.rank] = (r.neighbour, r.w)
     for u, i in cells:
         want = neighbours_by_hand(RATED, u, i, 5)
