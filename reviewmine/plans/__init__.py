@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("profile_queries", "itemset_queries", "similarity_queries", "recommend_queries", "graph_queries")
+MODULES = ("profile_queries", "itemset_queries", "similarity_queries", "recommend_queries", "graph_queries", "text_queries")
 
 
 def all_queries() -> dict:
