@@ -32,10 +32,10 @@ def test_example_with_two_in_common(spark):
         ("b", "d"): 12.0, ("a", "b"): 5.0, ("b", "c"): 5.0, ("d", "e"): 4.5, ("d", "g"): 4.5, ("d", "f"): 4.0,
         ("e", "f"): 1.5, ("f", "g"): 1.5, ("a", "c"): 1.0,
     }
-    trace = com.removal_trace(edges).cache()
-    first = trace.orderBy("step").first()
-    assert (first.step, first.src, first.dst, round(first.q, 6)) == (1, "b", "d", 0.364198)
-    best = com.best_partition(edges, trace)
+    steps = com.parallel_steps(edges, 2).cache()
+    first = steps.where("round = 1").first()
+    assert (first.component, first.src, first.dst, round(first.q, 6)) == ("a", "b", "d", 0.364198)
+    best = com.best_of_rounds(edges, steps)
     assert groups(best) == ["abc", "defg"]
     listed = com.member_lists(best).orderBy("size", "community", "position").collect()
     assert [(r.size, r.position, r.node) for r in listed] == [
