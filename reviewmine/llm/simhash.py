@@ -128,7 +128,8 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, agree: int = AGREE, par
     filed = materialize(fps.select("fp", F.explode(block_keys(F.col("fp"), distance, agree)).alias("key")).select("fp", "key.*"))
     sizes = filed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = sizes.select("choice", "bits", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    shared = filed.join(materialize(sizes), ["choice", "bits"])
+    # both sides are of the order of the documents; a broadcast would only do for few of them
+    shared = filed.join(materialize(sizes).hint("merge"), ["choice", "bits"])
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     shared = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = shared.select(
@@ -201,4 +202,4 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     named = materialize(components(prints, "key"))
     chosen = prints.join(named, "fp").where(F.col("key").eqNullSafe(F.col("component_id")))
     chosen = chosen.groupBy("component").agg(F.min("place").alias("place"))
-    return rows.join(materialize(chosen.select("place")), "place", "left_semi").select("row.*")
+    return rows.join(materialize(chosen.select("place")).hint("merge"), "place", "left_semi").select("row.*")
