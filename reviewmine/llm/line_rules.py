@@ -29,6 +29,7 @@ MIN_TEXTS = 10  # a line in fewer distinct texts of its host is never removed
 SHARE = 0.005  # nor one in a smaller share of the host's distinct texts
 LEFT = 0.3  # share of its words that a document must keep
 MIN_WORDS = 10  # words that any document must have
+BROADCAST_LINES = 1_000_000  # lines above the limits that may go to all tasks
 REPEATED_WINDOW = 5  # words
 REPEATS = 20  # per cent of words in repeated windows that a document may have
 
@@ -87,6 +88,11 @@ def examine(text: str | None) -> tuple:
     )
 
 
+def passes(words: int, repeated: int) -> bool:
+    """The base rules."""
+    return words >= MIN_WORDS and 100 * repeated <= REPEATS * words
+
+
 def _kernel() -> Kernel:
     return lambda texts: list(zip(*map(examine, texts), strict=True))
 
@@ -134,29 +140,64 @@ def judge(
     )
 
 
-def without_lines(rows: DataFrame, text: str) -> DataFrame:
-    """``(row, text)``: the texts of judged rows without the removed lines; other lines stay as they are."""
+def without_lines(lines: list[str], removed: set[int]) -> str:
+    """The text of the lines that are not removed; lines without words stay."""
+    return "\n".join(x for x in lines if not (own := x.encode().split()) or line_key(own) not in removed)
+
+
+def clean(
+    docs: DataFrame,
+    host: str = "source",
+    text: str = "text",
+    min_texts: int = MIN_TEXTS,
+    share: float = SHARE,
+    left: float = LEFT,
+    most: int = BROADCAST_LINES,
+) -> DataFrame:
+    """The kept rows with their own columns, in which texts have lost the lines above the limits.
+
+    Up to ``most`` such lines go to all tasks, and a second pass over the texts
+    judges and cuts them where they are. More lines than that go to their
+    documents by the joins of ``judge``.
+    """
+    key = F.coalesce(quoted(host).cast("string"), F.lit(""))
+    named = docs.select(key.alias("host"), quoted(text).alias("text"))
+    found = annotate(named, _kernel, FIELDS, carry=["host"])
+    lines = materialize(found.select("row.host", "out.text_hash", "out.lines"))
+    often = materialize(frequent_lines(lines, min_texts, share))
+    if often.count() > most:
+        return _clean_by_joins(docs, host, text, min_texts, share, left)
+    table: dict[str, set[int]] = {}
+    for name, line in often.toLocalIterator():
+        table.setdefault(name, set()).add(line)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def make() -> Kernel:
-        def kernel(texts: list) -> list:
-            return [list(map(_cut, texts))]
+        def kernel(packed: list) -> list:
+            return list(zip(*(_judged(p, shared.value) for p in packed), strict=True))
 
-        return kernel
+        def _judged(packed: str, table: dict[str, set[int]]) -> tuple[bool, str | None]:
+            name, _, own = packed.partition("\n")
+            removed = table.get(json.loads(name)[0], set())
+            words, *_, repeated, _, lines = examine(own)
+            cut = sum(line["words"] for line in lines if line["hash"] in removed)
+            kept = passes(words, repeated) and words - cut >= left * words
+            return kept, (without_lines(own.split("\n"), removed) if cut else own) if kept else None
 
-    packed = F.to_json(F.struct(F.col("row")[text].alias("text"), "removed"))
-    there = rows.where(F.col("removed").isNotNull()).select("row", packed.alias("packed"))
-    cleaned = annotate(there, make, "text string", "packed", carry=["row"]).select("row.row", "out.text")
-    return cleaned.unionByName(rows.where(F.col("removed").isNull()).select("row", F.col("row")[text].alias("text")))
+        return kernel
 
+    # one column for the kernel: the host's name in a JSON array, which has no line break, and the text below it
+    packed = F.concat(F.to_json(F.array(key)), F.lit("\n"), F.coalesce(quoted(text), F.lit("")))
+    source = docs.select(packed.alias("packed"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    rows = annotate(source, make, "kept boolean, text string", "packed", carry=["row"]).where("out.kept")
+    return rows.select(*((F.col("out.text") if n == text else F.col("row.row")[n]).alias(n) for n in docs.columns))
 
-def _cut(packed: str) -> str:
-    row = json.loads(packed)
-    removed = set(row["removed"])
-    lines = row["text"].split("\n")
-    return "\n".join(line for line in lines if not (own := line.encode().split()) or line_key(own) not in removed)
 
+def _clean_by_joins(docs: DataFrame, host: str, text: str, min_texts: int, share: float, left: float) -> DataFrame:
+    def make() -> Kernel:
+        return lambda packed: [[without_lines(p["text"].split("\n"), set(p["removed"])) for p in map(json.loads, packed)]]
 
-def clean(docs: DataFrame, host: str = "source", text: str = "text", **limits: float) -> DataFrame:
-    """The kept rows with their own columns, in which texts have lost the lines above the limits."""
-    rows = without_lines(judge(docs, host, text, **limits).where("kept"), text)
-    return rows.select(*((F.col("text") if n == text else F.col("row")[n]).alias(n) for n in docs.columns))
+    rows = judge(docs, host, text, min_texts=min_texts, share=share, left=left).where("kept")
+    packed = F.to_json(F.struct(F.col("row")[text].alias("text"), F.coalesce("removed", F.array()).alias("removed")))
+    cleaned = annotate(rows.select("row", packed.alias("packed")), make, "text string", "packed", carry=["row"])
+    return cleaned.select(*((F.col("out.text") if n == text else F.col("row.row")[n]).alias(n) for n in docs.columns))

@@ -28,6 +28,7 @@ def test_lines_that_recur_on_a_host_go(spark):
     assert all(judged[i].cut == 0 and judged[i].kept for i in [*range(100, 105), *range(200, 240)])
     assert judged[300].cut == 20 and not judged[300].kept
     cleaned = {x.doc_id: x.text for x in r.clean(docs).collect()}
+    assert cleaned == {x.doc_id: x.text for x in r.clean(docs, most=0).collect()}
     assert cleaned[3] == f"{body(3)}\n\nEnd 3" and cleaned[100] == rows[30][2] and 300 not in cleaned
 
 
@@ -41,5 +42,7 @@ def test_messy_rows(spark):
         assert x.base_failed == (len(words) < 10 or 100 * x.n_repeat_words > 20 * len(words))
     kept = r.clean(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < len(TEXTS)
+    by_joins = r.clean(docs, most=-1)
+    assert sorted(map(str, by_joins.collect())) == sorted(map(str, kept.collect()))
     assert r.clean(messy(spark, empty=True)).count() == 0
     assert kept.where(F.col("text").isNull()).count() == 0
