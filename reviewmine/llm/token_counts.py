@@ -30,6 +30,7 @@ from reviewmine.llm.batches import Kernel, annotate
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 KNOWN_WORDS = 300_000  # words a task remembers; beyond, it starts anew
 SPACE = "▁"
+NOTHING = float("-inf")
 PENALTY = 10.0  # fixed value: how much less than the lowest score an unknown character has
 
 
@@ -58,22 +59,24 @@ class TokenCounter:
         for last, piece in self.automaton.iter(word):
             found[last].append(piece)
         for last, pieces in enumerate(found):
-            best, origin, unknown, single = None, last, False, False
-            for length, own, is_unknown in sorted(pieces, key=lambda p: -p[0]):
-                start = last + 1 - length
-                total = own + score[start]
-                if best is None or total > best:
-                    best, origin, unknown = total, start, is_unknown
-                single = single or length == 1
-            if not single and (best is None or self.unknown_score + score[last] > best):
+            # the automaton lists the pieces that end here from long to short, so by where they start
+            best, origin, unknown, length = NOTHING, last, False, 0
+            for length, own, is_unknown in pieces:
+                total = own + score[last + 1 - length]
+                if total > best:
+                    best, origin, unknown = total, last + 1 - length, is_unknown
+            # the shortest piece comes last; without one of a single character, the character may be unknown
+            if length != 1 and self.unknown_score + score[last] > best:
                 best, origin, unknown = self.unknown_score + score[last], last, True
             if not unknown:
-                tokens = 1
-            elif self.byte_pieces:
-                tokens = len(word[origin : last + 1].encode())
+                count[last + 1] = count[origin] + 1
             else:
-                tokens = 0 if in_unknown[origin] else 1
-            score[last + 1], count[last + 1], in_unknown[last + 1] = best, count[origin] + tokens, unknown
+                if self.byte_pieces:
+                    tokens = len(word[origin : last + 1].encode())
+                else:
+                    tokens = 0 if in_unknown[origin] else 1
+                count[last + 1], in_unknown[last + 1] = count[origin] + tokens, True
+            score[last + 1] = best
         return count[n], score[n]
 
 
