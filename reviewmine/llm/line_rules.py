@@ -27,6 +27,10 @@ from reviewmine.sources.shared import materialize
 
 MIN_TEXTS = 10  # a line in fewer distinct texts of its host is never removed
 SHARE = 0.005  # nor one in a smaller share of the host's distinct texts
+# limits of the pipeline, which do not grow with the host
+TEXTS = 50  # distinct texts that are enough where the share asks for more
+LONG_WORDS = 20  # words of a long line
+LONG_TEXTS = 5  # distinct texts that are enough for a long line
 LEFT = 0.3  # share of its words that a document must keep
 MIN_WORDS = 10  # words that any document must have
 BROADCAST_LINES = 1_000_000  # lines above the limits that may go to all tasks
@@ -97,12 +101,32 @@ def _kernel() -> Kernel:
     return lambda texts: list(zip(*map(examine, texts), strict=True))
 
 
-def frequent_lines(lines: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
-    """``(host, hash)`` of the lines above both limits, from rows ``(host, text_hash, lines)``."""
+def frequent_lines(
+    lines: DataFrame,
+    min_texts: int = MIN_TEXTS,
+    share: float = SHARE,
+    enough: int | None = None,
+    long_texts: int | None = None,
+) -> DataFrame:
+    """``(host, hash)`` of the lines above the limits, from rows ``(host, text_hash, lines)``.
+
+    A line needs ``min_texts`` texts and the share of its host's; ``enough``
+    texts do in place of the share, and ``long_texts`` in place of both if the
+    line has ``LONG_WORDS`` words in every text (repeats in a text add up).
+    """
     texts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    single = lines.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
-    counts = single.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_texts)
-    return counts.join(texts, "host").where(F.col("n") >= share * F.col("texts")).select("host", "hash")
+    own = F.explode("lines").alias("line")
+    single = lines.select("host", "text_hash", own).select("host", "text_hash", "line.hash", "line.words").distinct()
+    counts = single.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("words"))
+    often = F.col("n") >= share * F.col("texts")
+    if enough is not None:
+        often |= F.col("n") >= enough
+    often &= F.col("n") >= min_texts
+    least = min_texts
+    if long_texts is not None:
+        often |= (F.col("words") >= LONG_WORDS) & (F.col("n") >= long_texts)
+        least = min(min_texts, long_texts)
+    return counts.where(F.col("n") >= least).join(texts, "host").where(often).select("host", "hash")
 
 
 def judge(
@@ -113,6 +137,8 @@ def judge(
     min_texts: int = MIN_TEXTS,
     share: float = SHARE,
     left: float = LEFT,
+    enough: int | None = None,
+    long_texts: int | None = None,
 ) -> DataFrame:
     """``(row, place, host, out, removed, cut, base_failed, kept)`` for every row.
 
@@ -127,7 +153,7 @@ def judge(
     place = F.monotonically_increasing_id().alias("place")
     rows = materialize(rows.select(F.col("row.host").alias("host"), F.col("row.row").alias("row"), "out", place))
     lines = rows.select("place", "host", F.col("out.text_hash").alias("text_hash"), F.col("out.lines").alias("lines"))
-    often = materialize(frequent_lines(lines, min_texts, share))
+    often = materialize(frequent_lines(lines, min_texts, share, enough, long_texts))
     found = lines.select("place", "host", F.inline("lines")).join(often, ["host", "hash"])
     found = found.groupBy("place").agg(F.sum("words").alias("cut"), F.collect_list("hash").alias("removed"))
     rows = rows.join(materialize(found), "place", "left")
@@ -153,6 +179,8 @@ def clean(
     share: float = SHARE,
     left: float = LEFT,
     most: int = BROADCAST_LINES,
+    enough: int | None = None,
+    long_texts: int | None = None,
 ) -> DataFrame:
     """The kept rows with their own columns, in which texts have lost the lines above the limits.
 
@@ -164,9 +192,10 @@ def clean(
     named = docs.select(key.alias("host"), quoted(text).alias("text"))
     found = annotate(named, _kernel, FIELDS, carry=["host"])
     lines = materialize(found.select("row.host", "out.text_hash", "out.lines"))
-    often = materialize(frequent_lines(lines, min_texts, share))
+    often = materialize(frequent_lines(lines, min_texts, share, enough, long_texts))
     if often.count() > most:
-        return _clean_by_joins(docs, host, text, min_texts, share, left)
+        limits = {"min_texts": min_texts, "share": share, "left": left, "enough": enough, "long_texts": long_texts}
+        return _clean_by_joins(docs, host, text, **limits)
     table: dict[str, set[int]] = {}
     for name, line in often.toLocalIterator():
         table.setdefault(name, set()).add(line)
@@ -193,11 +222,11 @@ def clean(
     return rows.select(*((F.col("out.text") if n == text else F.col("row.row")[n]).alias(n) for n in docs.columns))
 
 
-def _clean_by_joins(docs: DataFrame, host: str, text: str, min_texts: int, share: float, left: float) -> DataFrame:
+def _clean_by_joins(docs: DataFrame, host: str, text: str, **limits: float | None) -> DataFrame:
     def make() -> Kernel:
         return lambda packed: [[without_lines(p["text"].split("\n"), set(p["removed"])) for p in map(json.loads, packed)]]
 
-    rows = judge(docs, host, text, min_texts=min_texts, share=share, left=left).where("kept")
+    rows = judge(docs, host, text, **limits).where("kept")
     packed = F.to_json(F.struct(F.col("row")[text].alias("text"), F.coalesce("removed", F.array()).alias("removed")))
     cleaned = annotate(rows.select("row", packed.alias("packed")), make, "text string", "packed", carry=["row"])
     return cleaned.select(*((F.col("out.text") if n == text else F.col("row.row")[n]).alias(n) for n in docs.columns))
