@@ -18,12 +18,16 @@ from reviewmine.llm import (
     html_text,
     langid,
     line_rules,
+    merkle,
     mixing_lm,
     rule_quality,
+    secrets,
     simhash,
     token_counts,
+    vector_codes,
 )
-from reviewmine.llm.batches import held_out
+from reviewmine.llm.batches import held_out, remainder
+from reviewmine.sources.shared import attach
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -204,6 +208,153 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, folder), carry=["doc_id"]).select(_doc_id(), "out.*")
 
 
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text: the given kinds counted and digested, and the spans of all rules."""
+    spans = F.col("out.spans")
+    base = [rule.kind for rule in secrets.RULES[:3]]
+    return secrets.scan(documents(spark, folder), carry=["doc_id"]).select(
+        _doc_id(),
+        *(secrets.count(spans, kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(secrets.told(spans, base), 256).alias("base_sha256"),
+        secrets.told(spans).alias("spans"),
+    )
+
+
+def _rule_sql(number: int, rule: secrets.Rule) -> str:
+    """Matches as they are cut out of the text: a match starts where all earlier pieces and matches end."""
+    pattern = rule.pattern.replace("'", "''")
+    counted = "m" if rule.group == 0 else f"regexp_extract_all(text, '{pattern}', {rule.group})"
+    return f"""select doc_id, {number} as number, '{rule.kind}' as kind, m[i] as match, {'c[i]' if rule.group else 'm[i]'} as counted,
+      list_sum(list_transform(p[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) as first
+      from (select doc_id, m, p, c, unnest(range(1, len(m) + 1)) as i from (
+        select doc_id, regexp_extract_all(text, '{pattern}') as m, string_split_regex(text, '{pattern}') as p, {counted} as c from d))
+      where length({'c[i]' if rule.group else 'm[i]'}) >= {rule.least}"""
+
+
+OP11_SQL = f"""with d as (select doc_id, coalesce(text, '') as text from documents),
+found as ({' union all '.join(_rule_sql(i, rule) for i, rule in enumerate(secrets.RULES))}),
+told as (
+  select doc_id, number, kind, cast(first as bigint) as first,
+         concat(kind, ':', cast(first as bigint), ':', cast(first as bigint) + length(match)) as span from found),
+whole as (
+  select doc_id, count(*) filter (number = 0) as n_assign, count(*) filter (number = 1) as n_access, count(*) filter (number = 2) as n_hex,
+         string_agg(span, ',' order by first, number) filter (number < 3) as base, string_agg(span, ',' order by first, number) as spans
+  from told group by 1)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join whole using (doc_id)"""
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """The code of every vector, and the error it leaves."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    found, books = vector_codes.compress(vectors)
+    return vector_codes.with_group_error(found, "label").select(
+        "row.vec_id",
+        "code",
+        "error",
+        F.col("group_error").alias("label_error"),
+        F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def _round_sql(i: int) -> str:
+    """Assign all parts to the entries of round i, and move these."""
+    return f"""a{i} as materialized (
+  select p.part, p.vec_id, p.v, min(struct_pack(d := list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, b.v) + list_inner_product(b.v, b.v), k := b.k)) as best
+  from parts p join b{i} b using (part) group by all),
+m{i} as (
+  select part, k, list(cast(floor(s / n) as double) order by pos) as v from (
+    select part, k, pos, sum(x) as s, count(*) as n
+    from (select part, best.k as k, unnest(v) as x, unnest(range(len(v))) as pos from a{i}) group by 1, 2, 3) group by 1, 2),
+b{i + 1} as materialized (select b.part, b.k, coalesce(m.v, b.v) as v from b{i} b left join m{i} m using (part, k))"""
+
+
+OP12_SQL = f"""with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (
+  select vec_id, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] as v from kept, range(4) as r(part)),
+b0 as materialized (
+  select part, dense_rank() over (order by vec_id) - 1 as k, v from parts
+  where vec_id in (select vec_id from kept order by vec_id limit {vector_codes.ENTRIES})),
+{', '.join(_round_sql(i) for i in range(vector_codes.ROUNDS + 1))},
+done as (
+  select vec_id, string_agg(lower(printf('%02x', best.k)), '' order by part) as code, cast(sum(best.d) as bigint) as error
+  from a{vector_codes.ROUNDS} group by 1),
+book as (
+  select sha256(string_agg(cast(cast(x as bigint) as varchar), ',' order by part, k, pos)) as codebooks_sha256
+  from (select part, k, unnest(v) as x, unnest(range(len(v))) as pos from b{vector_codes.ROUNDS}))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from done join kept using (vec_id), book"""
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf and proof; a seventh of the leaves are tampered with before they are verified."""
+    docs = table(spark, folder, "documents").select(*merkle.FIELDS)
+    fields = [F.col(name) for name in merkle.FIELDS]
+    changed = [F.try_add(c, F.lit(1)) if name == "n_chars" else c for name, c in zip(merkle.FIELDS, fields, strict=True)]
+    docs = docs.withColumn("tampered", F.when(remainder("doc_id", 7) == 0, merkle.leaf(*changed)))
+    manifest = merkle.manifest(docs, carry=["doc_id", "tampered"])
+    found = manifest.proofs()
+    subroots = manifest.groups.roots().withColumnRenamed("digest", "subroot")
+    shown = F.coalesce("row.tampered", "digest")
+    return attach(found, subroots, "tree").select(
+        _doc_id(),
+        F.col("digest").alias("leaf"),
+        "subroot",
+        F.lit(manifest.root).cast("string").alias("root"),
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.folded(shown, F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf_sql(*names: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen(cast({n} as varchar)) || ':' || cast({n} as varchar), '-')" for n in names) + "))"
+
+
+OP13_SQL = f"""with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) as t),
+numbered as (
+  select *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(name) + 1), lambda i: cast(ascii(name[i]) as bigint))),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 7 = 0 as chosen
+  from (select *, cast(doc_id as varchar) as name from documents), crc),
+hashed as (
+  select doc_id, coalesce('=' || lang, '') as tree, {_leaf_sql(*merkle.FIELDS)} as leaf,
+         case when chosen then {_leaf_sql('doc_id', 'source', 'lang', 'n_chars + 1', 'text')} end as tampered
+  from numbered),
+d as (select *, row_number() over (partition by tree order by doc_id, leaf) - 1 as pos from hashed),
+up(tree, level, nodes) as (
+  select tree, 0, list(leaf order by pos) from d group by 1
+  union all
+  select tree, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+  from up where len(nodes) > 1),
+subroots as (select tree, nodes[1] as subroot, row_number() over (order by tree) - 1 as pos from up where len(nodes) = 1),
+over_all(level, nodes) as (
+  select 0, list(subroot order by pos) from subroots
+  union all
+  select level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+  from over_all where len(nodes) > 1),
+paths as (
+  select d.tree, d.pos, level, (d.pos >> level) % 2 = 1 as lhs, nodes[xor(d.pos >> level, 1) + 1] as digest
+  from d join up on up.tree = d.tree and len(nodes) > 1
+  union all
+  select d.tree, d.pos, 1000 + level, (s.pos >> level) % 2 = 1, nodes[xor(s.pos >> level, 1) + 1]
+  from d join subroots s using (tree) join over_all on len(nodes) > 1),
+steps as (select *, row_number() over (partition by tree, pos order by level) as k from paths),
+proofs as (select tree, pos, string_agg(digest, '' order by k) as met, count(*) as n from steps group by 1, 2),
+folds(tree, pos, k, digest) as (
+  select tree, pos, 0, coalesce(tampered, leaf) from d
+  union all
+  select f.tree, f.pos, f.k + 1, sha256(case when lhs then s.digest || f.digest else f.digest || coalesce(s.digest, '') end)
+  from folds f join steps s on s.tree = f.tree and s.pos = f.pos and s.k = f.k + 1),
+done as (select tree, pos, arg_max(digest, k) as folded_root from folds group by 1, 2),
+top as (select nodes[1] as root from over_all where len(nodes) = 1)
+select doc_id, leaf, subroot, root, sha256(coalesce(met, '')) as proof_sha256, folded_root, folded_root = root as verified
+from d join subroots using (tree) join done on done.tree = d.tree and done.pos = d.pos
+left join proofs on proofs.tree = d.tree and proofs.pos = d.pos, top"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_langid": (op1_langid, None),
     "op2_rule_quality": (op2_rule_quality, None),
@@ -215,4 +366,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_line_rules": (op8_line_rules, OP8_SQL),
     "op9_mixing_lm": (op9_mixing_lm, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_secret_scan": (op11_secret_scan, OP11_SQL),
+    "op12_vector_codes": (op12_vector_codes, OP12_SQL),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }

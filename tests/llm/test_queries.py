@@ -9,7 +9,7 @@ from conftest import SMALL
 
 import __spark_entry__ as contract
 
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 COLUMNS = {
     "op1": ["doc_id", "held_out", "lang_pred", "score"],
     "op2": ["doc_id", "held_out", "score", "predicted"],
@@ -21,6 +21,9 @@ COLUMNS = {
     "op8": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op9": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10": ["doc_id", "n_tokens"],
+    "op11": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op12": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op13": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
 }
 QUERIES = {name.split("_")[0]: name for name in contract.queries() if name.startswith("op")}
 
@@ -38,7 +41,7 @@ def test_query(spark, op):
     for table in TABLES:
         con.execute(f"create view {table} as select * from '{os.path.join(SMALL, table)}.parquet'")
     key = columns[0]
-    source = {"page_id": "pages", "conv_id": "conversations"}.get(key, "documents")
+    source = {"page_id": "pages", "conv_id": "conversations", "vec_id": "embeddings"}.get(key, "documents")
     keys = {x for (x,) in con.execute(f"select {key} from {source}").fetchall()} | ({-7} if op == "op4" else set())
     assert len(got) == len(keys) and set(got[key]) == keys
     if name in contract.oracle_sql():
