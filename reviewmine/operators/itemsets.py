@@ -1,10 +1,12 @@
 """Frequent itemsets: level-wise mining, and the two-pass form over chunks of baskets.
 
-Baskets are a long table ``(basket, item)``. Itemsets are sorted arrays. Every
-level is a few joins that stay within a basket; what leaves a task is a partial
-count per itemset. Only items that are frequent themselves take part, a level
-only grows from sets that are frequent, and a basket with very many sets is
-divided among tasks by the rows it makes.
+Baskets are a long table ``(basket, item)``. Itemsets are sorted arrays. Mining
+is vertical: the baskets are numbered in ranges, and each item has a bitmap of
+the baskets of a range it is in. A set is counted by intersecting the bitmaps of
+its items in the ranges that have all of them, so that no row stands for an
+occurrence of a set in a basket, and a basket of any size is a bit for each of
+its items. Only items that are frequent themselves take part, and a level only
+tries sets whose subsets are frequent.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmine.operators.overlap import product_join
@@ -20,6 +22,9 @@ from reviewmine.sources.shared import attach, materialize
 
 Enough = Callable[[DataFrame], DataFrame]  # keeps the rows whose ``freq`` suffices
 
+RANGE = 24_576  # baskets expected in a range, under the 32,768 bits of Spark's bitmaps; what is above goes to a further one
+BITMAP_ROWS = 128  # rows of a pair that cost as much as one bitmap
+
 
 def make_baskets(pairs: DataFrame, case: int = 1) -> DataFrame:
     """Distinct baskets of (user, business) pairs: by user (case 1) or by business (case 2)."""
@@ -42,13 +47,52 @@ def frequent_items(baskets: DataFrame, support: int) -> DataFrame:
     return counts.where(F.col("freq") >= support)
 
 
-def _extend(found: DataFrame, kept: DataFrame) -> DataFrame:
-    """Each occurrence of a set in a basket, once per larger item of the same basket."""
-    return (
-        product_join(found, kept, ["chunk", "basket"])
-        .where(F.col("item") > F.element_at("items", -1))
-        .select("chunk", "basket", F.concat("items", F.array("item")).alias("items"))
-    )
+def item_bitmaps(baskets: DataFrame) -> DataFrame:
+    """``(chunk, item, slot, part, bits)`` of ``(chunk, basket, item)``: which baskets of a range have the item.
+
+    Baskets are dealt to slots by hash and numbered there; a slot with more
+    baskets than a bitmap has bits takes several parts.
+    """
+    keys = materialize(baskets.groupBy("chunk", "basket").agg(F.count(F.lit(1)).alias("k")).select("chunk", "basket"))
+    slots = keys.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / RANGE).alias("slots"))
+    slot = F.pmod(F.xxhash64("basket"), F.col("slots")).cast("int").alias("slot")
+    dealt = attach(keys, slots, "chunk").select("chunk", "basket", slot)
+    number = F.row_number().over(Window.partitionBy("chunk", "slot").orderBy("basket"))
+    rows = attach(baskets, dealt.withColumn("number", number), ["chunk", "basket"])
+    rows = rows.groupBy("chunk", "item", "slot", F.bitmap_bucket_number("number").alias("part"))
+    return rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+
+
+def count_sets(bitmaps: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(chunk, items, freq)``: in how many baskets the given ``(chunk, items)`` of any sizes are; 0 is left out."""
+    items = sets.select("chunk", "items", F.explode("items").alias("item"))
+    ranges = bitmaps.join(items, ["chunk", "item"]).groupBy("chunk", "items", "slot", "part")
+    both = ranges.agg(F.count(F.lit(1)).alias("n"), F.bitmap_and_agg("bits").alias("bits"))
+    both = both.where(F.col("n") == F.size("items")).select("chunk", "items", F.bitmap_count("bits").alias("k"))
+    return both.groupBy("chunk", "items").agg(F.sum("k").alias("freq")).where(F.col("freq") > 0)
+
+
+def _pairs(single: DataFrame) -> DataFrame:
+    """All pairs of frequent items of a chunk."""
+    one = single.select("chunk", F.col("items")[0].alias("p"))
+    other = single.select("chunk", F.col("items")[0].alias("q"))
+    pairs = product_join(one, other, ["chunk"]).where("p < q")
+    return pairs.select("chunk", F.array("p", "q").alias("items"))
+
+
+def _count_pairs(kept: DataFrame) -> DataFrame:
+    """``(chunk, items, freq)`` of all pairs, from the baskets themselves."""
+    one, other = kept.withColumnRenamed("item", "p"), kept.withColumnRenamed("item", "q")
+    met = product_join(one, other, ["chunk", "basket"]).where("p < q").groupBy("chunk", "p", "q")
+    return met.agg(F.count(F.lit(1)).alias("freq")).select("chunk", F.array("p", "q").alias("items"), "freq")
+
+
+def _few_items(single: DataFrame, kept: DataFrame, bitmaps: DataFrame) -> bool:
+    """Whether intersecting the bitmaps of all pairs of items is less work than going through the pairs in baskets."""
+    square = lambda rows: rows.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+    rows = square(kept.groupBy("chunk", "basket").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    ranges = bitmaps.groupBy("chunk", "slot", "part").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return square(ranges) * BITMAP_ROWS <= rows
 
 
 def _candidates(level: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -75,46 +119,24 @@ def _candidates(level: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def _count_levels(
-    baskets: DataFrame, enough: Enough, candidates: DataFrame | None = None, max_size: int | None = None
-) -> DataFrame:
-    """Frequent sets ``(chunk, size, items, freq)`` of baskets ``(chunk, basket, item)``.
-
-    ``candidates`` restricts the count to given sets (closed under subsets);
-    otherwise each level proposes the next one.
-    """
-
-    def listed(size: int) -> DataFrame:
-        return candidates.where(F.size("items") == size).select("chunk", "items")
-
-    def counted(occurrences: DataFrame) -> DataFrame:
-        return materialize(enough(occurrences.groupBy("chunk", "items").agg(F.count(F.lit(1)).alias("freq"))))
-
+def _mined(baskets: DataFrame, enough: Enough, max_size: int | None = None) -> DataFrame:
+    """Frequent sets ``(chunk, size, items, freq)`` of baskets ``(chunk, basket, item)``; each level proposes the next."""
     single = baskets.groupBy("chunk", "item").agg(F.count(F.lit(1)).alias("freq"))
-    single = single.select("chunk", F.array("item").alias("items"), "freq")
-    if candidates is not None:
-        single = single.join(listed(1), ["chunk", "items"], "left_semi")
-    levels = [materialize(enough(single))]
-
-    kept = baskets.join(levels[0].select("chunk", F.col("items")[0].alias("item")), ["chunk", "item"], "left_semi")
-    kept = materialize(kept)
-    found = kept.select("chunk", "basket", F.array("item").alias("items"))
-    size, grown = 1, None
-    while not levels[-1].isEmpty() and size != max_size:
-        size += 1
-        wanted = None
-        if candidates is not None:
-            wanted = listed(size)
-        elif size > 2:
-            wanted = materialize(_candidates(levels[-1], levels[1], size))
-        if wanted is not None and wanted.isEmpty():
+    levels = [materialize(enough(single.select("chunk", F.array("item").alias("items"), "freq")))]
+    if max_size != 1 and not levels[0].isEmpty():
+        items = levels[0].select("chunk", F.col("items")[0].alias("item"))
+        kept = materialize(attach(baskets, items, ["chunk", "item"], "left_semi"))
+        bitmaps = materialize(item_bitmaps(kept))
+        few = _few_items(levels[0], kept, bitmaps)
+        pairs = count_sets(bitmaps, materialize(_pairs(levels[0]))) if few else _count_pairs(kept)
+        levels.append(materialize(enough(pairs)))
+    while len(levels) not in (1, max_size):
+        if levels[-1].isEmpty():
             break
-        if grown is not None:
-            found = materialize(grown.join(levels[-1], ["chunk", "items"], "left_semi"))
-        grown = _extend(found, kept)
-        if wanted is not None:
-            grown = grown.join(wanted, ["chunk", "items"], "left_semi")
-        levels.append(counted(grown))
+        wanted = materialize(_candidates(levels[-1], levels[1], len(levels) + 1))
+        if wanted.isEmpty():
+            break
+        levels.append(materialize(enough(count_sets(bitmaps, wanted))))
     whole = reduce(DataFrame.unionByName, levels)
     return whole.select("chunk", F.size("items").alias("size"), "items", "freq")
 
@@ -122,8 +144,7 @@ def _count_levels(
 def frequent_itemsets(baskets: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
     """All itemsets in at least ``support`` baskets: ``(size, items, freq)``."""
     enough = lambda counts: counts.where(F.col("freq") >= support)
-    found = _count_levels(baskets.withColumn("chunk", F.lit(0)), enough, max_size=max_size)
-    return found.drop("chunk")
+    return _mined(baskets.withColumn("chunk", F.lit(0)), enough, max_size).drop("chunk")
 
 
 def son_candidates(baskets: DataFrame, support: int, chunk: Column) -> DataFrame:
@@ -141,13 +162,13 @@ def son_candidates(baskets: DataFrame, support: int, chunk: Column) -> DataFrame
         joined = counts.join(F.broadcast(sizes), "chunk")
         return joined.where(F.col("freq") * total >= support * F.col("part")).drop("part")
 
-    local = _count_levels(chunked, enough)
-    return local.select("size", "items").distinct()
+    return _mined(chunked, enough).select("size", "items").distinct()
 
 
 def son_frequent(baskets: DataFrame, candidates: DataFrame, support: int) -> DataFrame:
-    """Second pass: exact counts of the candidates over all baskets."""
-    listed = candidates.select(F.lit(0).alias("chunk"), "items")
-    enough = lambda counts: counts.where(F.col("freq") >= support)
-    found = _count_levels(baskets.withColumn("chunk", F.lit(0)), enough, candidates=listed)
-    return found.drop("chunk")
+    """Second pass: exact counts of the candidates of all sizes over all baskets, in one go."""
+    listed = materialize(candidates.select(F.lit(0).alias("chunk"), "items"))
+    items = listed.select("chunk", F.explode("items").alias("item")).distinct()
+    kept = attach(baskets.withColumn("chunk", F.lit(0)), items, ["chunk", "item"], "left_semi")
+    counts = count_sets(materialize(item_bitmaps(materialize(kept))), listed)
+    return counts.where(F.col("freq") >= support).select(F.size("items").alias("size"), "items", "freq")

@@ -1,11 +1,11 @@
 """Joins of sets by what they share: exact counts, overlap thresholds, prefixes.
 
-Sets are a long table ``(item, value)`` without duplicates. Pairs are found by a
-prefix filter: the values of every set are ordered from rare to frequent, and
-sets are joined on the first few only. Two sets with enough in common must share
-one of those, so nothing is lost, and frequent values mostly stand at the end of
-the order where they are not used. Joins of many rows with many rows of a key
-are divided by the number of rows they make (``product_join``).
+Sets are a long table ``(item, value)`` without duplicates. The values of every
+set are ordered from rare to frequent, and sets are joined on those in front
+only. Two sets with enough in common must share some of them, so nothing is
+lost, and frequent values mostly stand at the end of the order where they are
+not used. Joins of many rows with many rows of a key are divided in both
+directions by the number of rows they make (``product_join``).
 """
 
 from __future__ import annotations
@@ -15,31 +15,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewmine.functions.ordering import ranked
 from reviewmine.sources.shared import attach, materialize
 
 STEPS = 4  # frequency classes per doubling
 CELLS = 1024  # values of one frequency class are ordered by hash cell
+PLACES = 1 << 17  # runs of ranked values that are told apart when the front of a set is cut
 PER_TASK = 1_000_000  # rows that one key of a join makes in one task
 
 
+def dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], per_task: int = PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with the columns ``_i`` and ``_j`` of a grid, so that each cell of a key makes few rows.
+
+    A key with l left and r right rows that makes more than ``per_task`` rows
+    becomes a grid: its left rows are dealt to p bands and repeated for each of
+    q columns, its right rows the other way round. With bands and columns of
+    1000 rows, l * q + r * p rows move to make l * r, a five-hundredth of them;
+    a side of fewer rows than that is one band.
+    """
+    side = int(per_task**0.5)
+    some = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
+    more = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
+    heavy = some.join(more, list(keys)).where(F.col("_l") * F.col("_r") > per_task)
+
+    def parts(own: str, other: str) -> Column:
+        return F.ceil(F.col(own) / F.greatest(F.lit(side), F.floor(per_task / F.col(other)))).cast("int")
+
+    heavy = materialize(heavy.select(*keys, parts("_l", "_r").alias("_p"), parts("_r", "_l").alias("_q")))
+    if heavy.isEmpty():
+        return left.withColumns({"_i": F.lit(0), "_j": F.lit(0)}), right.withColumns({"_i": F.lit(0), "_j": F.lit(0)})
+
+    def placed(rows: DataFrame, own: str, mine: str, other: str, every: str) -> DataFrame:
+        band = F.pmod(F.xxhash64(*rows.columns), F.coalesce(mine, F.lit(1))).cast("int").alias(own)
+        cells = F.sequence(F.lit(0), F.coalesce(every, F.lit(1)) - 1)
+        return rows.join(heavy, list(keys), "left").select(*rows.columns, band, F.explode(cells).alias(other))
+
+    return placed(left, "_i", "_p", "_j", "_q"), placed(right, "_j", "_q", "_i", "_p")
+
+
 def product_join(left: DataFrame, right: DataFrame, keys: Sequence[str], per_task: int = PER_TASK) -> DataFrame:
     """Inner join where both sides may have many rows of a key.
 
     Adaptive execution divides a key by the bytes it reads, but the work here is
-    in the rows it makes. So a key that makes more than ``per_task`` rows is
-    divided beforehand: its left rows are dealt to parts by hash, and its right
-    rows are repeated for each of them.
+    in the rows it makes, so keys that make many are divided beforehand.
     """
-    keys = list(keys)
-    some = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_l"))
-    more = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
-    heavy = some.join(more, keys).where(F.col("_l") * F.col("_r") > per_task)
-    parts = F.ceil(F.col("_l") * F.col("_r") / per_task).cast("int").alias("_parts")
-    heavy = materialize(heavy.select(*keys, parts))
-    number = F.coalesce("_parts", F.lit(1))
-    mine = left.join(heavy, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), number).cast("int"))
-    every = right.join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), number - 1)))
-    return mine.drop("_parts").join(every.drop("_parts"), [*keys, "_part"]).drop("_part")
+    left, right = dealt(left, right, keys, per_task)
+    return left.join(right, [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
 def count_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -85,15 +106,68 @@ def prefixes(sets: DataFrame, sizes: DataFrame, length: Column) -> DataFrame:
 def overlapping_pairs(pairs: DataFrame, at_least: int) -> DataFrame:
     """Pairs of keys ``(a, b, common)`` that share at least so many distinct values.
 
-    ``pairs`` has the columns (key, value).
+    ``pairs`` has the columns (key, value). With t values to be shared, the
+    values of each set in one order, rare ones first, and ``rest`` < t: two such
+    sets share t - rest of them in front of the last ``rest`` values of the set
+    whose front ends first, which are in front of the other one's too. So the
+    fronts are joined and their common values counted; a pair is followed up
+    only if that count and the values behind the earlier front can reach t. Then
+    just these few values are looked up in the other set. The most frequent
+    values of a set are never joined.
     """
     key, value = pairs.columns[:2]
     sets = pairs.select(F.col(key).alias("item"), F.col(value).alias("value")).dropna().distinct()
-    sets = materialize(sets)
-    sizes = materialize(sets.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least))
-    rows = attach(sets, sizes.select("item"), "item", "left_semi")
-    first = materialize(prefixes(rows, sizes, F.col("n") - at_least + 1).select("item", "value", "n"))
-    left = first.select("value", F.col("item").alias("a"), F.col("n").alias("na"))
-    right = first.select("value", F.col("item").alias("b"), F.col("n").alias("nb"))
-    found = product_join(left, right, ["value"]).where("a < b").select("a", "b", "na", "nb").distinct()
-    return count_common(materialize(found), sets).where(F.col("common") >= at_least)
+    placed = materialize(_placed(materialize(sets), at_least))
+    ends = materialize(_fronts(placed, at_least, at_least // 2))
+    rows = attach(placed, ends, "item")
+    ahead = F.col("place") <= F.col("last")
+    front = materialize(rows.where(ahead).select("rank", "item", "last", "rest"))
+    behind = materialize(rows.where(~ahead).select("rank", "item"))
+    left = front.select("rank", F.col("item").alias("a"), F.col("last").alias("la"), F.col("rest").alias("ra"))
+    right = front.select("rank", F.col("item").alias("b"), F.col("last").alias("lb"), F.col("rest").alias("rb"))
+    earlier = F.col("la") <= F.col("lb")
+    met = product_join(left, right, ["rank"]).where("a < b").groupBy("a", "b", "la", "lb", "ra", "rb")
+    met = met.agg(F.count(F.lit(1)).alias("met"))
+    met = met.where(F.col("met") + F.when(earlier, F.col("ra")).otherwise(F.col("rb")) >= at_least)
+    met = materialize(
+        met.select(
+            "a",
+            "b",
+            "met",
+            F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("item"),
+            F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("other"),
+        )
+    )
+    # a set has fewer than at_least values behind its front, so this makes a bounded number of rows for each pair
+    looked_up = product_join(met.select("a", "b", "item", "other"), behind, ["item"]).drop("item").withColumnRenamed("other", "item")
+    more = looked_up.join(placed.select("item", "rank"), ["item", "rank"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("more"))
+    common = F.col("met") + F.coalesce("more", F.lit(0))
+    return met.join(more, ["a", "b"], "left").select("a", "b", common.alias("common")).where(F.col("common") >= at_least)
+
+
+def _placed(sets: DataFrame, at_least: int) -> DataFrame:
+    """``(item, rank, place)`` for the values found in several sets, of sets with enough of them.
+
+    ``rank`` numbers the values from rare to frequent. Places are equal runs of
+    ranks, at most ``PLACES`` of them, so that what is known of a set by place
+    has a bound even where the set has none.
+    """
+    counts = sets.groupBy("value").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1)
+    numbered = materialize(ranked(counts, "sets", "value", name="rank").select("value", "rank"))
+    width = -(-numbered.count() // PLACES) or 1
+    shared = materialize(sets.join(numbered, "value").select("item", "rank", F.floor(F.col("rank") / width).cast("int").alias("place")))
+    enough = shared.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    return attach(shared, enough.select("item"), "item", "left_semi")
+
+
+def _fronts(placed: DataFrame, at_least: int, rest: int) -> DataFrame:
+    """``(item, last, rest)``: the last place of the front of each set, and how many values are behind it.
+
+    Places are taken whole, so at most ``rest`` values are behind the front.
+    """
+    whole = Window.partitionBy("item")
+    following = whole.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy("item", "place").agg(F.count(F.lit(1)).alias("k"))
+    cells = cells.withColumn("behind", F.coalesce(F.sum("k").over(following), F.lit(0))).where(F.col("behind") <= rest)
+    ends = cells.groupBy("item").agg(F.min(F.struct("place", "behind")).alias("end"))
+    return ends.select("item", F.col("end.place").alias("last"), F.col("end.behind").alias("rest"))
