@@ -23,7 +23,7 @@ from reviewmine.sources.shared import attach, materialize
 Enough = Callable[[DataFrame], DataFrame]  # keeps the rows whose ``freq`` suffices
 
 RANGE = 24_576  # baskets expected in a range, under the 32,768 bits of Spark's bitmaps; what is above goes to a further one
-BITMAP_ROWS = 128  # rows of a pair that cost as much as one bitmap
+BITMAP_ROWS = 64  # rows for pairs in baskets that take as long as intersecting two bitmaps
 
 
 def make_baskets(pairs: DataFrame, case: int = 1) -> DataFrame:
@@ -47,22 +47,26 @@ def frequent_items(baskets: DataFrame, support: int) -> DataFrame:
     return counts.where(F.col("freq") >= support)
 
 
-def item_bitmaps(baskets: DataFrame) -> DataFrame:
+def item_bitmaps(baskets: DataFrame, slots: int) -> DataFrame:
     """``(chunk, item, slot, part, bits)`` of ``(chunk, basket, item)``: which baskets of a range have the item.
 
     Baskets are dealt to slots by hash and numbered there; a slot with more
     baskets than a bitmap has bits takes several parts.
     """
-    keys = materialize(baskets.groupBy("chunk", "basket").agg(F.count(F.lit(1)).alias("k")).select("chunk", "basket"))
-    slots = keys.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / RANGE).alias("slots"))
-    slot = F.pmod(F.xxhash64("basket"), F.col("slots")).cast("int").alias("slot")
-    dealt = attach(keys, slots, "chunk").select("chunk", "basket", slot)
-    number = F.row_number().over(Window.partitionBy("chunk", "slot").orderBy("basket"))
-    rows = attach(baskets, dealt.withColumn("number", number), ["chunk", "basket"])
-    rows = rows.groupBy("chunk", "item", "slot", F.bitmap_bucket_number("number").alias("part"))
+    dealt = baskets.withColumn("slot", F.pmod(F.xxhash64("basket"), F.lit(slots)).cast("int"))
+    number = F.dense_rank().over(Window.partitionBy("chunk", "slot").orderBy("basket"))
+    rows = dealt.select("chunk", "item", "slot", number.alias("number"))
+    rows = rows.groupBy("chunk", "slot", "item", F.bitmap_bucket_number("number").alias("part"))
     return rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
 
 
+def _extent(baskets: DataFrame) -> tuple[int, float]:
+    """The slots that ``(chunk, basket, item)`` take, and how many ordered pairs of items are in baskets."""
+    sizes = baskets.groupBy("chunk", "basket").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    found = sizes.agg(F.count(F.lit(1)), F.count_distinct("chunk"), F.sum(F.col("n") * (F.col("n") - 1))).first()
+    return max(1, -(-found[0] // (RANGE * max(1, found[1])))), found[2] or 0.0
+
+
 def count_sets(bitmaps: DataFrame, sets: DataFrame) -> DataFrame:
     """``(chunk, items, freq)``: in how many baskets the given ``(chunk, items)`` of any sizes are; 0 is left out."""
     items = sets.select("chunk", "items", F.explode("items").alias("item"))
@@ -75,8 +79,7 @@ def count_sets(bitmaps: DataFrame, sets: DataFrame) -> DataFrame:
 def _pairs(single: DataFrame) -> DataFrame:
     """All pairs of frequent items of a chunk."""
     one = single.select("chunk", F.col("items")[0].alias("p"))
-    other = single.select("chunk", F.col("items")[0].alias("q"))
-    pairs = product_join(one, other, ["chunk"]).where("p < q")
+    pairs = one.join(one.withColumnRenamed("p", "q"), "chunk").where("p < q")
     return pairs.select("chunk", F.array("p", "q").alias("items"))
 
 
@@ -87,14 +90,6 @@ def _count_pairs(kept: DataFrame) -> DataFrame:
     return met.agg(F.count(F.lit(1)).alias("freq")).select("chunk", F.array("p", "q").alias("items"), "freq")
 
 
-def _few_items(single: DataFrame, kept: DataFrame, bitmaps: DataFrame) -> bool:
-    """Whether intersecting the bitmaps of all pairs of items is less work than going through the pairs in baskets."""
-    square = lambda rows: rows.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
-    rows = square(kept.groupBy("chunk", "basket").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    ranges = bitmaps.groupBy("chunk", "slot", "part").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return square(ranges) * BITMAP_ROWS <= rows
-
-
 def _candidates(level: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     """Sets of ``size`` items, all of whose subsets one item smaller are frequent.
 
@@ -124,19 +119,16 @@ def _mined(baskets: DataFrame, enough: Enough, max_size: int | None = None) -> D
     single = baskets.groupBy("chunk", "item").agg(F.count(F.lit(1)).alias("freq"))
     levels = [materialize(enough(single.select("chunk", F.array("item").alias("items"), "freq")))]
     if max_size != 1 and not levels[0].isEmpty():
-        items = levels[0].select("chunk", F.col("items")[0].alias("item"))
-        kept = materialize(attach(baskets, items, ["chunk", "item"], "left_semi"))
-        bitmaps = materialize(item_bitmaps(kept))
-        few = _few_items(levels[0], kept, bitmaps)
-        pairs = count_sets(bitmaps, materialize(_pairs(levels[0]))) if few else _count_pairs(kept)
-        levels.append(materialize(enough(pairs)))
-    while len(levels) not in (1, max_size):
-        if levels[-1].isEmpty():
-            break
-        wanted = materialize(_candidates(levels[-1], levels[1], len(levels) + 1))
-        if wanted.isEmpty():
-            break
-        levels.append(materialize(enough(count_sets(bitmaps, wanted))))
+        # the filtered rows are made anew where they are used; a user's own plan should be written or cached
+        kept = attach(baskets, levels[0].select("chunk", F.col("items")[0].alias("item")), ["chunk", "item"], "left_semi")
+        slots, in_baskets = _extent(kept)
+        per_chunk = levels[0].groupBy("chunk").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        of_items = per_chunk.agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0]
+        few = of_items * slots * BITMAP_ROWS <= in_baskets
+        bitmaps = materialize(item_bitmaps(kept, slots)) if few or max_size != 2 else None
+        levels.append(materialize(enough(count_sets(bitmaps, _pairs(levels[0])) if few else _count_pairs(kept))))
+    while len(levels) not in (1, max_size) and not levels[-1].isEmpty():
+        levels.append(materialize(enough(count_sets(bitmaps, _candidates(levels[-1], levels[1], len(levels) + 1)))))
     whole = reduce(DataFrame.unionByName, levels)
     return whole.select("chunk", F.size("items").alias("size"), "items", "freq")
 
@@ -170,5 +162,5 @@ def son_frequent(baskets: DataFrame, candidates: DataFrame, support: int) -> Dat
     listed = materialize(candidates.select(F.lit(0).alias("chunk"), "items"))
     items = listed.select("chunk", F.explode("items").alias("item")).distinct()
     kept = attach(baskets.withColumn("chunk", F.lit(0)), items, ["chunk", "item"], "left_semi")
-    counts = count_sets(materialize(item_bitmaps(materialize(kept))), listed)
+    counts = count_sets(materialize(item_bitmaps(kept, _extent(kept)[0])), listed)
     return counts.where(F.col("freq") >= support).select(F.size("items").alias("size"), "items", "freq")

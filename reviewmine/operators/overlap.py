@@ -118,11 +118,10 @@ def overlapping_pairs(pairs: DataFrame, at_least: int) -> DataFrame:
     key, value = pairs.columns[:2]
     sets = pairs.select(F.col(key).alias("item"), F.col(value).alias("value")).dropna().distinct()
     placed = materialize(_placed(materialize(sets), at_least))
-    ends = materialize(_fronts(placed, at_least, at_least // 2))
-    rows = attach(placed, ends, "item")
+    rows = attach(placed, _fronts(placed, at_least // 2), "item")
     ahead = F.col("place") <= F.col("last")
-    front = materialize(rows.where(ahead).select("rank", "item", "last", "rest"))
-    behind = materialize(rows.where(~ahead).select("rank", "item"))
+    front = rows.where(ahead).select("rank", "item", "last", "rest")
+    behind = rows.where(~ahead).select("rank", "item")
     left = front.select("rank", F.col("item").alias("a"), F.col("last").alias("la"), F.col("rest").alias("ra"))
     right = front.select("rank", F.col("item").alias("b"), F.col("last").alias("lb"), F.col("rest").alias("rb"))
     earlier = F.col("la") <= F.col("lb")
@@ -153,14 +152,14 @@ def _placed(sets: DataFrame, at_least: int) -> DataFrame:
     has a bound even where the set has none.
     """
     counts = sets.groupBy("value").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1)
-    numbered = materialize(ranked(counts, "sets", "value", name="rank").select("value", "rank"))
+    numbered = ranked(counts, "sets", "value", name="rank").select("value", "rank")
     width = -(-numbered.count() // PLACES) or 1
     shared = materialize(sets.join(numbered, "value").select("item", "rank", F.floor(F.col("rank") / width).cast("int").alias("place")))
     enough = shared.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
     return attach(shared, enough.select("item"), "item", "left_semi")
 
 
-def _fronts(placed: DataFrame, at_least: int, rest: int) -> DataFrame:
+def _fronts(placed: DataFrame, rest: int) -> DataFrame:
     """``(item, last, rest)``: the last place of the front of each set, and how many values are behind it.
 
     Places are taken whole, so at most ``rest`` values are behind the front.
