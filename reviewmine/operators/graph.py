@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reviewmine.operators.overlap import overlapping_pairs
-from reviewmine.sources.shared import materialize, new_path
+from reviewmine.sources.shared import attach, materialize, new_path
 
 BATCH_CELLS = 2_000_000_000  # (root, node) cells searched at a time
+LARGE = 1e200  # path counts above are scaled down, where only their ratios matter
 
 
 def co_review_graph(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -44,14 +45,22 @@ def _levels(roots: DataFrame, steps: DataFrame) -> list[DataFrame]:
     levels = [materialize(start)]
     while True:
         reached = levels[-1].join(steps, "node").groupBy("root", "next").agg(F.sum("sigma").cast("decimal(38,0)").alias("sigma"))
-        reached = reached.withColumnRenamed("next", "node")
-        near = reduce(DataFrame.unionByName, [level.select("root", "node") for level in levels[-2:]])
-        level = materialize(reached.join(near, ["root", "node"], "left_anti"))
-        if level.isEmpty():
+        level, n, _ = _new_level(reached, levels)
+        if not n:
             return levels
         levels.append(level)
 
 
+def _new_level(reached: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame, int, float | None]:
+    """What is reached and not on the last two levels, the number of its rows and their largest path count."""
+    near = reduce(DataFrame.unionByName, [level.select("root", "node") for level in levels[-2:]])
+    fresh = reached.withColumnRenamed("next", "node").join(near, ["root", "node"], "left_anti")
+    seen = Observation()
+    most = F.max(F.col("sigma").cast("double")).alias("most")
+    level = materialize(fresh.observe(seen, F.count(F.lit(1)).alias("n"), most))
+    return level, seen.get["n"], seen.get["most"]
+
+
 def _batches(edges: DataFrame) -> list[DataFrame]:
     """All nodes as roots, in hashed batches when all cells at once would be too many."""
     nodes = materialize(degrees(edges).select("node"))
@@ -74,34 +83,119 @@ def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFram
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """``(src, dst, betweenness)``: over all pairs of nodes, the share of their shortest paths using the edge.
+    """``(src, dst, betweenness)``: over all pairs of nodes, the share of their shortest paths using the edge."""
+    return searched(edges)[0]
+
+
+def searched(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Betweenness ``(src, dst, betweenness)``, and the smallest node of each one's component: ``(node, component)``.
 
-    From the deepest level up, every node passes one credit plus what it got
+    Leaves are peeled off first, round by round, each adding its weight (the
+    nodes it stands for) to its neighbour. All paths from a peeled node's side
+    to the other side use its edge, so that edge scores one weight times the
+    other. Only the rest, where every node is on the way between others, is
+    searched, with the weights of both ends of each pair.
+    """
+    core, weights, rounds = _peeled(materialize(edges.select("src", "dst")))
+    scores, known = _search(core, weights)
+    for gone in reversed(rounds):
+        above = known.select(F.col("node").alias("parent"), "label", "total")
+        part = materialize(gone.join(above, "parent").select("node", "parent", "weight", "label", "total"))
+        value = F.col("weight") * (F.col("total") - F.col("weight"))
+        scores = scores.unionByName(part.select(*_edge("node", "parent"), value.alias("betweenness")))
+        known = known.unionByName(part.select("node", "label", "total"))
+    names = known.groupBy("label").agg(F.min("node").alias("component"))
+    return scores, attach(known, names, "label").select("node", "component")
+
+
+def _peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The edges between nodes that are no leaves, all nodes left as ``(node, weight)``, and what each round has peeled.
+
+    A round gives ``(node, parent, weight)``. There are at most half as many
+    rounds as the longest path has edges.
+    """
+    left, rounds = edges, []
+    weights = degrees(left).select("node", F.lit(1.0).alias("weight"))
+    while True:
+        leaves = arcs(left).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("next").alias("parent")).where("n = 1")
+        # of two leaves that have only each other, the larger one goes
+        twins = leaves.select(F.col("node").alias("parent"), F.lit(True).alias("twin"))
+        gone = leaves.join(twins, "parent", "left").where(F.col("twin").isNull() | (F.col("node") > F.col("parent")))
+        gone = materialize(gone.join(weights, "node").select("node", "parent", "weight"))
+        if gone.isEmpty():
+            return left, materialize(weights), rounds
+        rounds.append(gone)
+        kept = weights.join(gone.select("node"), "node", "left_anti")
+        moved = kept.unionByName(gone.select(F.col("parent").alias("node"), "weight"))
+        weights = materialize(moved.groupBy("node").agg(F.sum("weight").alias("weight")))
+        left = materialize(left.join(gone.select(*_edge("node", "parent")), ["src", "dst"], "left_anti"))
+
+
+def _search(edges: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Betweenness of edges between weighted nodes, and ``(node, label, total)``: each one's component and its weight.
+
+    From the deepest level up, every node passes its weight plus what it got
     from below to its parents, split by their path counts.
     """
-    steps = arcs(edges)
-    sums = new_path(edges.sparkSession)
+    one = F.col("node").alias("label")
+    if edges.isEmpty():
+        no_scores = edges.select("src", "dst", F.lit(0.0).alias("betweenness"))
+        return no_scores, weights.select("node", one, F.col("weight").alias("total"))
+    steps = materialize(arcs(edges).join(weights.toDF("next", "next_weight"), "next").select("node", "next", "next_weight"))
+    sums, reach = new_path(edges.sparkSession), new_path(edges.sparkSession)
     for roots in _batches(edges):
-        levels = _levels(roots, steps)
+        levels = _weighted_levels(roots.join(weights, "node"), steps)
+        whole = reduce(DataFrame.unionByName, [level.select("root", "node", "weight") for level in levels])
+        whole = whole.groupBy("root").agg(F.min("node").alias("label"), F.sum("weight").alias("total"))
+        whole.withColumnRenamed("root", "node").write.mode("append").parquet(reach)
         below, flows = None, []
         for parents, level in zip(levels[-2::-1], levels[:0:-1], strict=True):
-            credit: Column = F.lit(1.0)
+            credit: Column = F.col("weight")
             if below is not None:
                 got = below.groupBy("root", F.col("parent").alias("node")).agg(F.sum("flow").alias("got"))
                 level = level.join(got, ["root", "node"], "left")
-                credit = 1.0 + F.coalesce("got", F.lit(0.0))
-            up = level.select("root", "node", (credit / F.col("sigma").cast("double")).alias("share"))
-            up = up.join(steps, "node").withColumnRenamed("next", "parent")
-            above = parents.select("root", F.col("node").alias("parent"), "sigma")
-            flow = up.join(above, ["root", "parent"])
-            below = materialize(flow.select("root", "node", "parent", (F.col("share") * F.col("sigma").cast("double")).alias("flow")))
-            flows.append(below.groupBy(*_edge("node", "parent")).agg(F.sum("flow").alias("flow")))
-        flows = flows or [edges.select("src", "dst", F.lit(0.0).alias("flow"))]
+                credit = credit + F.coalesce("got", F.lit(0.0))
+            up = level.select("root", "node", (credit / F.col("paths")).alias("share"))
+            up = up.join(steps.select("node", F.col("next").alias("parent")), "node")
+            above = parents.select("root", F.col("node").alias("parent"), "sigma", "root_weight")
+            flow = up.join(above, ["root", "parent"]).withColumn("flow", F.col("share") * F.col("sigma"))
+            below = materialize(flow.select("root", "node", "parent", "flow", "root_weight"))
+            counted = F.sum(F.col("flow") * F.col("root_weight")).alias("flow")
+            flows.append(below.groupBy(*_edge("node", "parent")).agg(counted))
         # a batch leaves one sum per edge, so the plan does not grow with the number of batches
         summed = reduce(DataFrame.unionByName, flows).groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
         summed.write.mode("append").parquet(sums)
-    total = (F.sum("flow") / 2).alias("betweenness")
-    return edges.sparkSession.read.parquet(sums).groupBy("src", "dst").agg(total)
+    read = edges.sparkSession.read.parquet
+    scores = read(sums).groupBy("src", "dst").agg((F.sum("flow") / 2).alias("betweenness"))
+    known = read(reach)
+    alone = weights.join(known.select("node"), "node", "left_anti")
+    return scores, materialize(known.unionByName(alone.select("node", one, F.col("weight").alias("total"))))
+
+
+def _weighted_levels(roots: DataFrame, steps: DataFrame) -> list[DataFrame]:
+    """Levels ``(root, root_weight, node, weight, sigma, paths)`` from roots ``(node, weight)``.
+
+    Only ratios of path counts are needed. ``paths`` is the sum over a node's
+    parents of their ``sigma``, and so is ``sigma``, unless the counts of a
+    level have grown out of range and are divided by the largest one of their root.
+    """
+    start = roots.select(
+        F.col("node").alias("root"), F.col("weight").alias("root_weight"), "node", "weight", F.lit(1.0).alias("sigma"), F.lit(1.0).alias("paths")
+    )
+    levels = [materialize(start)]
+    while True:
+        met = levels[-1].select("root", "root_weight", "node", "sigma").join(steps, "node")
+        reached = met.groupBy("root", "next").agg(
+            F.max("root_weight").alias("root_weight"), F.max("next_weight").alias("weight"), F.sum("sigma").alias("sigma")
+        )
+        level, n, most = _new_level(reached.withColumn("paths", F.col("sigma")), levels)
+        if not n:
+            return levels
+        if most > LARGE:
+            largest = level.groupBy("root").agg(F.max("sigma").alias("largest"))
+            level = attach(level, largest, "root").withColumn("sigma", F.col("sigma") / F.col("largest")).drop("largest")
+            level = materialize(level)
+        levels.append(level)
 
 
 def _edge(a: str, b: str) -> list[Column]:
