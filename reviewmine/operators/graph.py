@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reviewmine.operators.overlap import overlapping_pairs
-from reviewmine.sources.shared import attach, materialize, new_path
+from reviewmine.sources.shared import attach, materialize
 
 BATCH_CELLS = 2_000_000_000  # (root, node) cells searched at a time
 LARGE = 1e200  # path counts above are scaled down, where only their ratios matter
@@ -55,18 +55,21 @@ def _new_level(reached: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame,
     """What is reached and not on the last two levels, the number of its rows and their largest path count."""
     near = reduce(DataFrame.unionByName, [level.select("root", "node") for level in levels[-2:]])
     fresh = reached.withColumnRenamed("next", "node").join(near, ["root", "node"], "left_anti")
+    level, seen = counted(fresh, F.max(F.col("sigma").cast("double")).alias("most"))
+    return level, seen["n"], seen["most"]
+
+
+def counted(df: DataFrame, *more: Column) -> tuple[DataFrame, dict]:
+    """The written table, and its number of rows ``n`` (and other aggregates) as seen by the writing job."""
     seen = Observation()
-    most = F.max(F.col("sigma").cast("double")).alias("most")
-    level = materialize(fresh.observe(seen, F.count(F.lit(1)).alias("n"), most))
-    return level, seen.get["n"], seen.get["most"]
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *more))
+    return table, seen.get
 
 
-def _batches(edges: DataFrame) -> list[DataFrame]:
+def _batches(nodes: DataFrame, count: int) -> list[DataFrame]:
     """All nodes as roots, in hashed batches when all cells at once would be too many."""
-    nodes = materialize(degrees(edges).select("node"))
-    count = nodes.count()
     n = max(1, -(-count * count // BATCH_CELLS))
-    return [nodes.where(F.pmod(F.xxhash64("node"), F.lit(n)) == i) for i in range(n)]
+    return [nodes.where(F.pmod(F.xxhash64("node"), F.lit(n)) == i) if n > 1 else nodes for i in range(n)]
 
 
 def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -104,6 +107,8 @@ def searched(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         value = F.col("weight") * (F.col("total") - F.col("weight"))
         scores = scores.unionByName(part.select(*_edge("node", "parent"), value.alias("betweenness")))
         known = known.unionByName(part.select("node", "label", "total"))
+    if not rounds:  # labels are smallest nodes, unless smaller ones have been peeled off
+        return scores, known.select("node", F.col("label").alias("component"))
     names = known.groupBy("label").agg(F.min("node").alias("component"))
     return scores, attach(known, names, "label").select("node", "component")
 
@@ -121,9 +126,9 @@ def _peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         # of two leaves that have only each other, the larger one goes
         twins = leaves.select(F.col("node").alias("parent"), F.lit(True).alias("twin"))
         gone = leaves.join(twins, "parent", "left").where(F.col("twin").isNull() | (F.col("node") > F.col("parent")))
-        gone = materialize(gone.join(weights, "node").select("node", "parent", "weight"))
-        if gone.isEmpty():
-            return left, materialize(weights), rounds
+        gone, seen = counted(gone.join(weights, "node").select("node", "parent", "weight"))
+        if not seen["n"]:
+            return left, weights, rounds
         rounds.append(gone)
         kept = weights.join(gone.select("node"), "node", "left_anti")
         moved = kept.unionByName(gone.select(F.col("parent").alias("node"), "weight"))
@@ -137,17 +142,19 @@ def _search(edges: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]
     From the deepest level up, every node passes its weight plus what it got
     from below to its parents, split by their path counts.
     """
-    one = F.col("node").alias("label")
+    alone = weights.join(edges.select(F.explode(F.array("src", "dst")).alias("node")), "node", "left_anti")
+    alone = alone.select("node", F.col("node").alias("label"), F.col("weight").alias("total"))
     if edges.isEmpty():
-        no_scores = edges.select("src", "dst", F.lit(0.0).alias("betweenness"))
-        return no_scores, weights.select("node", one, F.col("weight").alias("total"))
-    steps = materialize(arcs(edges).join(weights.toDF("next", "next_weight"), "next").select("node", "next", "next_weight"))
-    sums, reach = new_path(edges.sparkSession), new_path(edges.sparkSession)
-    for roots in _batches(edges):
-        levels = _weighted_levels(roots.join(weights, "node"), steps)
+        return edges.select("src", "dst", F.lit(0.0).alias("betweenness")), alone
+    nodes, seen = counted(arcs(edges).select("node").distinct().join(weights, "node"))
+    steps = arcs(edges).join(nodes.toDF("next", "next_weight"), "next").select("node", "next", "next_weight")
+    steps = materialize(steps)
+    batches, scores, known = _batches(nodes, seen["n"]), [], [alone]
+    for roots in batches:
+        levels = _weighted_levels(roots, steps)
         whole = reduce(DataFrame.unionByName, [level.select("root", "node", "weight") for level in levels])
         whole = whole.groupBy("root").agg(F.min("node").alias("label"), F.sum("weight").alias("total"))
-        whole.withColumnRenamed("root", "node").write.mode("append").parquet(reach)
+        known.append(whole.withColumnRenamed("root", "node") if len(batches) == 1 else materialize(whole.withColumnRenamed("root", "node")))
         below, flows = None, []
         for parents, level in zip(levels[-2::-1], levels[:0:-1], strict=True):
             credit: Column = F.col("weight")
@@ -160,16 +167,13 @@ def _search(edges: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]
             above = parents.select("root", F.col("node").alias("parent"), "sigma", "root_weight")
             flow = up.join(above, ["root", "parent"]).withColumn("flow", F.col("share") * F.col("sigma"))
             below = materialize(flow.select("root", "node", "parent", "flow", "root_weight"))
-            counted = F.sum(F.col("flow") * F.col("root_weight")).alias("flow")
-            flows.append(below.groupBy(*_edge("node", "parent")).agg(counted))
-        # a batch leaves one sum per edge, so the plan does not grow with the number of batches
+            sums = F.sum(F.col("flow") * F.col("root_weight")).alias("flow")
+            flows.append(below.groupBy(*_edge("node", "parent")).agg(sums))
         summed = reduce(DataFrame.unionByName, flows).groupBy("src", "dst").agg(F.sum("flow").alias("flow"))
-        summed.write.mode("append").parquet(sums)
-    read = edges.sparkSession.read.parquet
-    scores = read(sums).groupBy("src", "dst").agg((F.sum("flow") / 2).alias("betweenness"))
-    known = read(reach)
-    alone = weights.join(known.select("node"), "node", "left_anti")
-    return scores, materialize(known.unionByName(alone.select("node", one, F.col("weight").alias("total"))))
+        # a batch leaves one sum per edge, so the plan does not grow with the number of levels of all batches
+        scores.append(summed if len(batches) == 1 else materialize(summed))
+    total = reduce(DataFrame.unionByName, scores).groupBy("src", "dst").agg((F.sum("flow") / 2).alias("betweenness"))
+    return total, reduce(DataFrame.unionByName, known)
 
 
 def _weighted_levels(roots: DataFrame, steps: DataFrame) -> list[DataFrame]:
@@ -182,7 +186,7 @@ def _weighted_levels(roots: DataFrame, steps: DataFrame) -> list[DataFrame]:
     start = roots.select(
         F.col("node").alias("root"), F.col("weight").alias("root_weight"), "node", "weight", F.lit(1.0).alias("sigma"), F.lit(1.0).alias("paths")
     )
-    levels = [materialize(start)]
+    levels = [start]
     while True:
         met = levels[-1].select("root", "root_weight", "node", "sigma").join(steps, "node")
         reached = met.groupBy("root", "next").agg(

@@ -3,7 +3,9 @@ from collections import deque
 from itertools import combinations
 
 import pytest
+from conftest import SMALL
 
+import __spark_entry__ as contract
 from reviewmine.operators import communities as com
 from reviewmine.operators import graph
 
@@ -172,6 +174,29 @@ def test_removal_order(spark):
     assert got == [(a, b, round(q, 9)) for a, b, q in removals_by_hand(edges)]
 
 
+def test_documents(spark):
+    """All removals of the smallest tables' graph, and the first best partition."""
+    edges = [(r.src, r.dst) for r in contract.queries()["cooccurrence_graph"](spark, SMALL).collect()]
+    steps = removals_by_hand(edges)
+    got = contract.queries()["gn_trace"](spark, SMALL).orderBy("step").collect()
+    assert [(r.src, r.dst, r.q) for r in got] == [(a, b, round(q, 6)) for a, b, q in steps]
+    best = max(range(len(steps)), key=lambda i: (round(steps[i][2], 9), -i))
+    left = [e for e in edges if e not in {s[:2] for s in steps[: best + 1]}]
+    trace = spark.createDataFrame([(i + 1, *s) for i, s in enumerate(steps)], "step int, src long, dst long, q double")
+    found = com.best_partition(spark.createDataFrame(edges, "src long, dst long"), trace)
+    assert {r.node: r.community for r in found.collect()} == components_of(left, neighbours(edges))
+
+
+def test_little_is_searched(spark, monkeypatch):
+    """Trees are peeled off; only what is on cycles is searched."""
+    edges = [(k, k + 1) for k in range(12)] + [(100, 100 + k) for k in range(1, 9)] + [(12, 13), (13, 14), (12, 14), (200, 201)]
+    cells, plain = [], graph._weighted_levels
+    monkeypatch.setattr(graph, "_weighted_levels", lambda *a: cells.append(plain(*a)) or cells[-1])
+    assert scores(spark.createDataFrame(edges, "src long, dst long")) == {e: round(v, 6) for e, v in betweenness_by_pairs(edges).items()}
+    near = neighbours(edges)
+    assert sum(level.count() for levels in cells for level in levels) < sum(len(search(near, n)[0]) for n in near) / 2
+
+
 def test_parallel_steps(spark):
     edges = random_edges(1)
     nodes, left, want, states = neighbours(edges), list(edges), [], [components_of(edges, neighbours(edges))]
