@@ -7,7 +7,7 @@ Training data is ``(user_id, item_id, rating)`` with one row per cell (see
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewmine.functions.columns import cap_rating
@@ -141,24 +141,58 @@ def predict_item_based(
     return known.unionByName(predicted)
 
 
-def predict_als(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Matrix factorisation of rank 2 for the warm cells; predictions are not cut."""
-    users = materialize(dense_index(train, "user_id")).withColumnRenamed("idx", "user")
-    items = materialize(dense_index(train, "item_id")).withColumnRenamed("idx", "item")
+RANK, ROUNDS, PENALTY = 2, 10, 0.01
 
-    def numbered(df: DataFrame) -> DataFrame:
-        return df.join(users, "user_id").join(items, "item_id")
 
+def _als(train: DataFrame) -> tuple:
+    """A factorisation of the ratings, and the numbers of users and items in it."""
+    users = materialize(dense_index(train, "user_id")).withColumnRenamed("idx", "user")
+    items = materialize(dense_index(train, "item_id")).withColumnRenamed("idx", "item")
     als = ALS(
-        rank=2, maxIter=10, regParam=0.01, seed=10, userCol="user", itemCol="item", ratingCol="rating",
+        rank=RANK, maxIter=ROUNDS, regParam=PENALTY, seed=10, userCol="user", itemCol="item", ratingCol="rating",
         coldStartStrategy="drop",
     )
-    model = als.fit(numbered(train).select(F.col("user").cast("int"), F.col("item").cast("int"), "rating"))
-    cells = numbered(test.select(*CELL).distinct())
-    cells = cells.withColumns({"user": F.col("user").cast("int"), "item": F.col("item").cast("int")})
+    return als.fit(_numbered(train, users, items).select("user", "item", "rating")), users, items
+
+
+def _numbered(cells: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    numbered = cells.join(users, "user_id").join(items, "item_id")
+    return numbered.withColumns({"user": F.col("user").cast("int"), "item": F.col("item").cast("int")})
+
+
+def predict_als(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Matrix factorisation of rank 2 for the warm cells; predictions are not cut."""
+    model, users, items = _als(train)
+    cells = _numbered(test.select(*CELL).distinct(), users, items)
     return model.transform(cells).select(*CELL, F.col("prediction").cast("double").alias("prediction"))
 
 
+def als_residuals(train: DataFrame) -> DataFrame:
+    """``(user_id, residual)``: how far each user's factors are from solving their normal equations.
+
+    The last half step of the factorisation solves, for each user with n
+    ratings, (sum of q q' + penalty * n) x = sum of r q over the factors q of
+    the rated items. The residual is the length of the difference over that of
+    the right side. Gram matrices are sums of products, one row for each user.
+    """
+    model, users, items = _als(train)
+    q = [F.col("q")[i].cast("double") for i in range(RANK)]
+    rated = _numbered(train, users, items).join(model.itemFactors.select(F.col("id").alias("item"), F.col("features").alias("q")), "item")
+    gram = {(i, k): F.sum(q[i] * q[k]).alias(f"g{i}{k}") for i in range(RANK) for k in range(i, RANK)}
+    right = [F.sum(F.col("rating") * q[i]).alias(f"r{i}") for i in range(RANK)]
+    sums = rated.groupBy("user", "user_id").agg(F.count(F.lit(1)).alias("n"), *gram.values(), *right)
+    solved = sums.join(model.userFactors.select(F.col("id").alias("user"), F.col("features").alias("x")), "user")
+    x = [F.col("x")[i].cast("double") for i in range(RANK)]
+
+    def difference(i: int) -> Column:
+        own = F.lit(PENALTY) * F.col("n") * x[i]
+        return sum((F.col(f"g{min(i, k)}{max(i, k)}") * x[k] for k in range(RANK)), own) - F.col(f"r{i}")
+
+    length = lambda parts: F.sqrt(sum((p * p for p in parts), F.lit(0.0)))
+    residual = length([difference(i) for i in range(RANK)]) / length([F.col(f"r{i}") for i in range(RANK)])
+    return solved.select("user_id", F.coalesce(residual, F.lit(0.0)).alias("residual"))
+
+
 def with_cold(train: DataFrame, test: DataFrame, warm_predictions: DataFrame) -> DataFrame:
     """The whole prediction table: the warm predictions and one value for all cold cells."""
     cold = cold_rows(train, test)

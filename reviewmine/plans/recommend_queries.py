@@ -209,6 +209,10 @@ QUERIES = {
         ),
         f"with {CELLS} select user_id, item_id, true as predicted from cells",
     ),
+    "als_residual": (
+        lambda s, d: rec.als_residuals(_events(s, d)[0]).select("user_id", (F.col("residual") < 1e-3).alias("solved")),
+        f"with {RATING_SPLIT} select distinct user_id, true as solved from train",
+    ),
     "rmse_user_mean": (
         _rmse_user_mean,
         f"""with {ORDER_PREDICTIONS} select round(sqrt(avg(pow(rating - prediction, 2))), 6) as rmse
