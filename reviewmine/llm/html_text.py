@@ -1,44 +1,53 @@
 """Main text of web pages: what a site repeats is found by hashes of element subtrees and taken out.
 
-A task reads each page once. Elements that are never main text (menus, page
-headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) are left out by tag, role and class; the rest is cut into blocks. The
-content of every other container element around a block is hashed. Spark counts
-the hashes per host, over pages of different content (copies of a page count
-once), and blocks inside of subtrees that recur on many pages of their host are
-deleted. Where a page names its article, only that is read; paragraphs, headings
-and the article itself are never counted as template.
+A task reads each page once and hashes the tags and texts of every element's
+subtree, paragraphs, list items, menus and footers included. Spark counts the
+hashes per host, over pages of different content (copies of a page count once),
+and subtrees on ``MIN_PAGES`` such pages of a host are deleted, however many
+pages the host has. Nothing inside of an article is deleted so.
+
+Parts that a host shows on one page only cannot recur. They are left out by tag
+and role (menus, page headers and footers, sidebars, forms) or by class, and
+where a page names its article, only that is read. Inside of an article or main
+part only a class that consists of such words as a whole counts, so that
+``share-price`` or a list of class ``menu`` stay.
 
 Defined results: null or empty html has an empty text; pages without a readable
 host form one host; equal pages get equal texts; broken markup is read as far as
-it can be, and a ``<`` that opens no tag is text; an empty table gives none.
+it can be, and a ``<`` that opens no tag is text; after a tag whose quotes never
+end, tags of that page end at their first ``>``; a page of any length or depth
+takes time and memory in proportion to its length; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewmine.llm.batches import Kernel, annotate, quoted
 from reviewmine.sources.shared import materialize
 
-MIN_PAGES = 10  # pages of different content that a template part is on, at least
-SHARE = 0.01  # of the host's pages of different content
-
-ATTRIBUTES = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+"""
-TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|textarea|title|noscript|iframe|template|xmp)(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)
-    |<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<more>{ATTRIBUTES})>
-    |<[!?/][^>]*>""",
-    re.S | re.I | re.X,
-)
+MIN_PAGES = 3  # pages of different content that make a subtree of theirs a part of the site
+
+OPENING = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+# up to the > that is not inside of quotes
+REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
+RAW = {
+    tag: re.compile(rf"</{tag}\s*+>", re.I)
+    for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")
+}
+ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+NO_CHARACTER = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")  # beyond all code points
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -50,7 +59,8 @@ SKIPPED = frozenset(
     "aside audio button canvas dialog embed footer form head math menu nav object optgroup option select svg video".split()
 )
 ARTICLES = frozenset("article main".split())
-BLOCKS = PROSE | CONTAINERS | SKIPPED | ARTICLES | frozenset("html body".split())
+INLINE = frozenset("audio button canvas embed math object select svg video".split())  # skipped without ending a block
+BLOCKS = PROSE | CONTAINERS | (SKIPPED - INLINE) | ARTICLES | frozenset("html body".split())
 VOID = frozenset("area base br col hr img input link meta param source track wbr embed".split())
 SIBLINGS = {
     "li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr td th", "table"),
@@ -66,6 +76,11 @@ AROUND = frozenset(
     share sharing social related recommended comment comments disqus respond reply replies widget copyright search""".split()
 )
 ASIDE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser".split())
+INSIDE = frozenset(
+    """ad ads advert adverts advertisement advertising adsense sponsored cookie cookies consent gdpr notice newsletter
+    sidebar breadcrumb breadcrumbs pagination comment comments disqus""".split()
+)
+NEUTRAL = frozenset("area bar block box card container inner item items list section slot unit wrapper".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
@@ -78,36 +93,78 @@ def hash64(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-@dataclass
+def unescape(text: str) -> str:
+    if "&" not in text:
+        return text
+    return entities.unescape(NO_CHARACTER.sub("\ufffd", ZEROS.sub(r"&#\1", text)))
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """``("", text, "")``, ``("<", tag, attributes)`` and ``("/", tag, "")``, each character looked at a few times."""
+    place, at, last, quotes = 0, html.find("<"), html.rfind(">"), True
+    while at >= 0:
+        found, end = None, -1
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+        elif at < last and (found := OPENING.match(html, at)):
+            rest = REST.match(html, found.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else html.index(">", found.end()) + 1
+        elif at < last and html[at + 1] in "!?/":
+            end = html.index(">", at) + 1
+        if end < 0:
+            at = html.find("<", at + 1)
+            continue
+        yield "", html[place:at], ""
+        if found:
+            tag = found[2].lower()
+            if tag in RAW and not found[1]:
+                close = RAW[tag].search(html, end)
+                end = close.end() if close else len(html)
+            else:
+                yield found[1] or "<", tag, html[found.end() : end - 1]
+        place, at = end, html.find("<", end)
+    yield "", html[place:], ""
+
+
+@dataclass(slots=True)
 class Element:
+    """An open element."""
+
     tag: str
-    up: Element | None
-    skipped: bool = False
-    article: int = 0  # 2 inside of an article, 1 inside of main
+    first: int  # block
+    level: int = 0  # 2 inside of an article, 1 inside of main
+    outer: int = 0  # depth of the outermost skipped element around it, or of itself; 0 if there is none
     parts: list[str] = field(default_factory=list)
-    hash: int | None = None
+    before: list[str] | None = None  # text of the block that a skipped inline element stands in
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    """The words of classes and ids."""
-    found: set[str] = set()
+def _names(attributes: dict[str, str]) -> list[set[str]]:
+    """The words of each class and of the id."""
+    found = []
     for name in NAMED:
         for one in attributes.get(name, "").split():
             words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower())
             if words and words[0] not in WITHOUT:
-                found.update(words)
+                found.append(set(words))
     return found
 
 
-def _beside(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+def _wholly(names: Iterable[set[str]], listed: frozenset[str]) -> bool:
+    """Whether some name has a listed word and no others but neutral ones."""
+    return any(words & listed and words <= listed | NEUTRAL for words in names)
+
+
+def _beside(tag: str, attributes: dict[str, str], level: int) -> bool:
     """Whether an element is never main text."""
     if tag in ("html", "body", "main"):
         return False
-    if tag in SKIPPED or (tag == "header" and not inside_article):
+    if tag in SKIPPED or (tag == "header" and not level):
         return True
     if not attributes:
         return False
@@ -117,137 +174,177 @@ def _beside(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
         return True
     names = _names(attributes)
     if tag == "article":
-        return bool(names & ASIDE)
-    return role in ROLES or bool(names & AROUND) or ("header" in names and not inside_article)
+        return _wholly(names, ASIDE)
+    if role in ROLES:
+        return True
+    if level:
+        return _wholly(names, INSIDE)
+    return any(words & AROUND or "header" in words for words in names)
 
 
 class Page:
-    """One page: its elements, and its blocks of text with the element each is in."""
+    """One page: its blocks of text and its elements, hashed.
+
+    ``blocks`` are ``(text, level, skipped)``; ``elements`` are ``(hash, tag,
+    level, first block, end)`` of all that have text. ``open`` has the open
+    elements, ``depths`` the depths of those of each tag, and ``solid`` of those
+    that a paragraph around them stays open for.
+    """
 
     def __init__(self, html: str):
-        self.top = Element("", None)
-        self.at = self.top
+        self.open = [Element("", 0)]
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)
+        self.solid = [0]
         self.text: list[str] = []
-        self.blocks: list[tuple[str, Element]] = []
-        place = 0
-        for token in TOKEN.finditer(html):
-            self._say(html[place : token.start()])
-            place = token.end()
-            if token["tag"]:
-                tag = token["tag"].lower()
-                if token["end"]:
-                    self._end(tag)
-                else:
-                    self._start(tag, token["more"])
-        self._say(html[place:])
-        while self.at.up:
-            self._close()
+        self.blocks: list[tuple[str, int, bool]] = []
+        self.elements: list[tuple[int, str, int, int, int]] = []
+        for kind, value, more in tokens(html):
+            if kind == "<":
+                self._start(value, more)
+            elif kind:
+                self._end(value)
+            elif value:
+                self.text.append(unescape(value))
+        self._close_to(1)
         self._cut()
 
-    def _say(self, text: str) -> None:
-        if text and not self.at.skipped:
-            self.text.append(entities.unescape(text) if "&" in text else text)
-
     def _cut(self) -> None:
         """Ends a block."""
         if self.text:
             if words := " ".join("".join(self.text).split()):
-                self.blocks.append((words, self.at))
-                self.at.parts.append(words)
+                at = self.open[-1]
+                self.blocks.append((words, at.level, bool(at.outer)))
+                at.parts.append(words)
             self.text.clear()
 
+    def _push(self, element: Element) -> None:
+        self.depths[element.tag].append(len(self.open))
+        if element.tag != "p" and (element.tag in BLOCKS or element.tag in INLINE):
+            self.solid.append(len(self.open))
+        self.open.append(element)
+
     def _close(self) -> None:
         self._cut()
-        done, self.at = self.at, self.at.up
+        done = self.open.pop()
+        self.depths[done.tag].pop()
+        if self.solid[-1] == len(self.open):
+            self.solid.pop()
         if done.parts:
-            done.hash = hash64(done.tag + "\0" + "\1".join(done.parts))
-            self.at.parts.append(f"\2{done.hash}")
-
-    def _find(self, tags: Sequence[str] | frozenset[str], stop: Sequence[str] = ()) -> Element | None:
-        one = self.at
-        while one.up and one.tag not in tags:
-            if one.tag in stop:
-                return None
-            one = one.up
-        return one if one.up else None
-
-    def _close_to(self, last: Element | None) -> None:
-        while last and self.at is not last.up:
+            value = hash64(done.tag + "\0" + "\1".join(done.parts))
+            self.elements.append((value, done.tag, done.level, done.first, len(self.blocks)))
+            self.open[-1].parts.append(f"\2{value}")
+        if done.before is not None:
+            self.text = done.before
+
+    def _deepest(self, tags: str) -> int:
+        """Depth of the innermost open element of some tags; 0 if there is none."""
+        return max((self.depths[tag][-1] for tag in tags.split() if self.depths[tag]), default=0)
+
+    def _close_to(self, depth: int) -> None:
+        """Closes the element at a depth and all inside of it."""
+        while len(self.open) > depth:
             self._close()
 
+    def _end_paragraph(self) -> None:
+        depth = self._deepest("p")
+        if depth > self.solid[-1]:
+            self._close_to(depth)
+
     def _start(self, tag: str, more: str) -> None:
         if tag in VOID:
             if tag == "br":
-                self._say(" ")
+                self.text.append(" ")
             elif tag == "hr":
-                self._close_to(self._find(("p",), tuple(BLOCKS - {"p"})))
+                self._end_paragraph()
                 self._cut()
             return
         attributes = _attributes(more) if more and not more.isspace() else {}
         block = tag in BLOCKS
         if block:
-            self._close_to(self._find(("p",), tuple(BLOCKS - {"p"})))
+            self._end_paragraph()
             if tag in SIBLINGS:
                 same, stop = SIBLINGS[tag]
-                while one := self._find(same.split(), stop.split()):
-                    self._close_to(one)
-            if tag in ("body", *ARTICLES) and self.at.skipped:
-                one = self.at
-                while one.up.skipped:
-                    one = one.up
-                self._close_to(one if one.tag in UNCLOSED else None)
+                while (depth := self._deepest(same)) > self._deepest(stop):
+                    self._close_to(depth)
+            outer = self.open[-1].outer
+            if tag in ("body", *ARTICLES) and outer and self.open[outer].tag in UNCLOSED:
+                self._close_to(outer)
             self._cut()
-        skipped = self.at.skipped or _beside(tag, attributes, bool(self.at.article))
-        if block or skipped:
+        around = self.open[-1]
+        beside = _beside(tag, attributes, around.level)
+        if block or beside or around.outer:
             level = 2 if tag == "article" else 1 if tag == "main" or attributes.get("role") in ("main", "article") else 0
-            self.at = Element(tag, self.at, skipped, max(level, self.at.article))
+            outer = around.outer or (len(self.open) if beside else 0)
+            element = Element(tag, len(self.blocks), max(level, around.level), outer)
+            if not block:
+                element.before, self.text = self.text, []
+            self._push(element)
 
     def _end(self, tag: str) -> None:
-        one = self._find((tag,))
-        if one:
-            self._close_to(one)
+        if depth := self._deepest(tag):
+            self._close_to(depth)
         elif tag in BLOCKS:
             self._cut()
 
-    def main_blocks(self) -> list[tuple[str, list[int]]]:
-        """The blocks of the article (or main part, or page), with the hashes of the containers around each."""
-        best = max((element.article for _, element in self.blocks), default=0)
-        found = []
-        for text, element in self.blocks:
-            if element.article < best:
-                continue
-            around, one = [], element
-            while one.up:
-                if one.tag in CONTAINERS and one.article == element.article:
-                    around.append(one.hash)
-                one = one.up
-            found.append((text, around))
-        return found
-
-
-def _kernel() -> Kernel:
+    def read(self, rules: bool = True) -> tuple[list[str], list[tuple[int, int, int]]]:
+        """The blocks to keep, and ``(hash, first, end)`` of the elements that may be parts of the site, by these blocks.
+
+        Without ``rules`` all blocks are kept, so that only the count decides.
+        """
+        best = max((level for _, level, skipped in self.blocks if not skipped), default=0) if rules else 0
+        kept = [not rules or (level >= best and not skipped) for _, level, skipped in self.blocks]
+        number = [0, *accumulate(map(int, kept))]
+        parts = []
+        for value, tag, level, first, end in self.elements:
+            first, end = number[first], number[end]
+            if tag not in ("html", "body", "main") and (best < 2 or (level < 2 and first == end)):
+                parts.append((value, first, end))
+        return [text for (text, _, _), keep in zip(self.blocks, kept, strict=True) if keep], parts
+
+
+def _kernel(rules: bool) -> Kernel:
     def kernel(pages: list) -> list:
-        blocks, parts, contents = [], [], []
+        columns: tuple = ([], [], [], [])
         for page in pages:
-            found = Page(page or "").main_blocks()
-            blocks.append([{"text": text, "around": around} for text, around in found])
-            parts.append(list({one for _, around in found for one in around}))
-            contents.append(hash64("\n".join(text for text, _ in found)))
-        return [blocks, parts, contents]
+            blocks, parts = Page(page or "").read(rules)
+            inside = [{"part": part, "first": a, "end": b} for part, a, b in parts if a < b]
+            single = list({part for part, _, _ in parts})
+            for column, value in zip(columns, (blocks, single, inside, hash64("\n".join(blocks))), strict=True):
+                column.append(value)
+        return list(columns)
 
     return kernel
 
 
-FIELDS = "blocks array<struct<text:string,around:array<bigint>>>, parts array<bigint>, content bigint"
+FIELDS = "blocks array<string>, parts array<bigint>, inside array<struct<part:bigint,first:int,end:int>>, content bigint"
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 
 
-def templates(parts: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(parts: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``(host, part)`` of the subtrees that recur, from rows ``(host, content, parts)``."""
-    pages = parts.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     single = parts.select("host", "content", F.explode("parts").alias("part")).distinct()
-    counts = single.groupBy("host", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(pages, "host").where(F.col("n") >= share * F.col("pages")).select("host", "part")
+    counts = single.groupBy("host", "part").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") >= min_pages).select("host", "part")
+
+
+def _left(firsts: Sequence[int], ends: Sequence[int], total: int) -> list[dict[str, int]]:
+    """The runs of blocks outside of some ranges, as places from 1 and lengths."""
+    runs, place = [], 0
+    for first, end in sorted(zip(firsts, ends, strict=True)):
+        if first > place:
+            runs.append({"start": place + 1, "length": int(first) - place})
+        place = max(place, int(end))
+    if total > place:
+        runs.append({"start": place + 1, "length": total - place})
+    return runs
+
+
+RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
+
+
+@F.pandas_udf(RUNS)
+def left_runs(firsts: pd.Series, ends: pd.Series, total: pd.Series) -> pd.Series:
+    return pd.Series([_left(*row) for row in zip(firsts, ends, total.tolist(), strict=True)], dtype=object)
 
 
 def main_text(
@@ -256,20 +353,24 @@ def main_text(
     url: str = "url",
     carry: Sequence[str] | None = None,
     min_pages: int = MIN_PAGES,
-    share: float = SHARE,
+    rules: bool = True,
 ) -> DataFrame:
-    """``(row, text)`` for every page: the blocks of its main text, joined by line breaks."""
+    """``(row, text)`` for every page: the blocks of its main text, joined by line breaks.
+
+    Without ``rules`` only recurring subtrees are left out.
+    """
     host = F.coalesce(F.lower(F.regexp_extract(quoted(url).cast("string"), HOST, 1)), F.lit(""))
     names = pages.columns if carry is None else carry
     source = pages.select(host.alias("host"), quoted(html).alias("html"), F.struct(*map(quoted, names)).alias("row"))
-    rows = annotate(source, _kernel, FIELDS, "html", carry=["host", "row"])
+    rows = annotate(source, lambda: _kernel(rules), FIELDS, "html", carry=["host", "row"])
     place = F.monotonically_increasing_id().alias("place")
     rows = materialize(rows.select(place, F.col("row.host").alias("host"), F.col("row.row").alias("row"), "out"))
-    parts = rows.select("place", "host", F.col("out.content").alias("content"), F.col("out.parts").alias("parts"))
-    recurring = materialize(templates(parts.where(F.size("parts") > 0), min_pages, share))
-    found = parts.select("place", "host", F.explode("parts").alias("part")).join(recurring, ["host", "part"])
-    deleted = materialize(found.groupBy("place").agg(F.collect_list("part").alias("deleted")))
-    gone = F.coalesce("deleted", F.array().cast("array<bigint>"))
-    left = F.filter("out.blocks", lambda b: ~F.arrays_overlap(b["around"], gone))
-    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
-    return rows.join(deleted, "place", "left").select("row", text.alias("text"))
+    parts = rows.select("host", F.col("out.content").alias("content"), F.col("out.parts").alias("parts"))
+    recurring = materialize(templates(parts, min_pages))
+    inside = rows.select("place", "host", F.size("out.blocks").alias("total"), F.inline("out.inside"))
+    found = inside.join(recurring, ["host", "part"]).groupBy("place", "total")
+    ranges = found.agg(F.collect_set(F.struct("first", "end")).alias("ranges"))
+    runs = materialize(ranges.select("place", left_runs("ranges.first", "ranges.end", "total").alias("runs")))
+    left = F.flatten(F.transform("runs", lambda run: F.slice("out.blocks", run["start"], run["length"])))
+    blocks = F.when(F.col("runs").isNull(), F.col("out.blocks")).otherwise(left)
+    return rows.join(runs, "place", "left").select("row", F.array_join(blocks, "\n").alias("text"))
