@@ -1,9 +1,11 @@
 """Benchmark decontamination: windows of benchmark words, looked up in every window of the training texts.
 
 The windows of the benchmark's items go to the tasks as a hash set. The set is
-broadcast in slices of at most ``SLICE`` windows, one scan of the documents per
-slice, so its size is bounded whatever the benchmark's. A window hash that is
-met is verified word by word.
+broadcast in slices of at most two times ``SLICE`` windows, one scan of the
+documents per slice, so its size is bounded whatever the benchmark's: repeated
+items are left out, long ones cut into pieces that share no window, and slices
+are filled by a running total of words. A window hash that is met is verified
+word by word.
 
 Defined results: words are runs of digits, letters and non-ASCII characters,
 lower-cased in A-Z; a null or wordless text has no words and is clean; a null
@@ -23,13 +25,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewmine.functions.ordering import running_total
 from reviewmine.llm.batches import Kernel, annotate, quoted
 from reviewmine.sources.shared import materialize
 
 WINDOW = 10
-SLICE = 2_000_000  # words of benchmark items in one broadcast
+SLICE = 200_000  # words of benchmark items from which a broadcast is full
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that all words of a window count
 KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"  # the same, before lower-casing
 WORD_BYTES = bytes(b if b in KEPT else 0x20 for b in bytes(range(256)).lower())
 
 
@@ -91,12 +95,17 @@ class Windows:
         return len(own), mask, items
 
 
-def slices(benchmark: DataFrame, size: int) -> list[DataFrame]:
-    """The items in groups of about ``size`` words, each small enough to be broadcast."""
-    characters = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-characters // (2 * size)))  # a word takes two characters at least, with its separator
-    slot = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [benchmark.where(slot == i) for i in range(n)]
+def slices(benchmark: DataFrame, size: int, window: int = WINDOW) -> list[DataFrame]:
+    """``(item, text)`` in groups of at most ``2 * size`` words and a window, each small enough to be broadcast."""
+    own = benchmark.distinct().select("item", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(size))
+    cut = own.where(F.size("words") > 0).select("item", "words", F.explode(starts).alias("start"))
+    part = F.slice("words", F.col("start") + 1, F.lit(size + window - 1))
+    cut = cut.select("item", "start", F.array_join(part, " ").alias("text"), F.size(part).alias("n"))
+    placed = materialize(running_total(cut, "n", "item", "start", "text", name="total"))
+    slot = F.floor((F.col("total") - F.col("n")) / size)
+    last = placed.agg(F.max(slot)).first()[0]
+    return [placed.where(slot == i).select("item", "text") for i in range((last or 0) + 1)]
 
 
 def scan(
@@ -118,7 +127,7 @@ def scan(
     fields = f"n_words bigint, spans array<struct<first:bigint,end:bigint>>, items array<{kind}>"
     names = docs.columns if carry is None else carry
     found = docs.select(quoted(text).alias("text"), F.struct(*map(quoted, names)).alias("row"))
-    groups = slices(items, size)
+    groups = slices(items, size, window)
     for i, group in enumerate(groups):
         rows = [tuple(row) for row in group.toLocalIterator()]
         tables = docs.sparkSession.sparkContext.broadcast(Windows(rows, window))

@@ -60,3 +60,25 @@ def test_what_is_hit_goes(spark):
     docs = messy(spark)
     bench = spark.createDataFrame([(1, "brown fox jumps over the lazy dog and runs away")], "item_id int, text string")
     assert {r.doc_id for r in d.clean(docs, bench).collect()} == {t[0] for t in TEXTS} - {1}
+
+
+def test_slices_are_bounded_and_lose_no_window(spark):
+    rng = random.Random(3)
+    items = [(i % 7, " ".join(rng.choice(["Ab", "é", "c-d", "9"]) for _ in range(rng.choice([1, 9, 10, 11, 300])))) for i in range(60)]
+    items += items[:20] + [(None, "a b"), (1, None), (2, "--")]
+    bench = spark.createDataFrame(items, "item bigint, text string")
+    groups = [[tuple(x) for x in group.collect()] for group in d.slices(bench, 50)]
+    assert len(groups) > 5 and max(sum(len(plain_words(t)) for _, t in g) for g in groups) <= 2 * 50 + d.WINDOW
+
+    def windows(rows):
+        found = {}
+        for item, text in rows:
+            own = plain_words(text)
+            n = min(d.WINDOW, len(own))
+            for i in range(len(own) - n + 1 if n else 0):
+                found.setdefault((item, tuple(own[i : i + n])), 0)
+        return set(found)
+
+    assert windows(items) == set().union(*map(windows, groups))
+    pieces = [(item, text) for g in groups for item, text in g]
+    assert len(pieces) < 60 * 7
