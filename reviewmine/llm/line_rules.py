@@ -27,8 +27,8 @@ from reviewmine.sources.shared import materialize
 
 MIN_TEXTS = 10  # a line in fewer distinct texts of its host is never removed
 SHARE = 0.005  # nor one in a smaller share of the host's distinct texts
-# limits of the pipeline, which do not grow with the host
-TEXTS = 50  # distinct texts that are enough where the share asks for more
+TEXTS = 50  # unless it is in this many, so that the limit does not grow with the host
+# limits of the pipeline
 LONG_WORDS = 20  # words of a long line
 LONG_TEXTS = 5  # distinct texts that are enough for a long line
 LEFT = 0.3  # share of its words that a document must keep
@@ -105,7 +105,7 @@ def frequent_lines(
     lines: DataFrame,
     min_texts: int = MIN_TEXTS,
     share: float = SHARE,
-    enough: int | None = None,
+    enough: int | None = TEXTS,
     long_texts: int | None = None,
 ) -> DataFrame:
     """``(host, hash)`` of the lines above the limits, from rows ``(host, text_hash, lines)``.
@@ -137,7 +137,7 @@ def judge(
     min_texts: int = MIN_TEXTS,
     share: float = SHARE,
     left: float = LEFT,
-    enough: int | None = None,
+    enough: int | None = TEXTS,
     long_texts: int | None = None,
 ) -> DataFrame:
     """``(row, place, host, out, removed, cut, base_failed, kept)`` for every row.
@@ -179,7 +179,7 @@ def clean(
     share: float = SHARE,
     left: float = LEFT,
     most: int = BROADCAST_LINES,
-    enough: int | None = None,
+    enough: int | None = TEXTS,
     long_texts: int | None = None,
 ) -> DataFrame:
     """The kept rows with their own columns, in which texts have lost the lines above the limits.

@@ -179,7 +179,7 @@ dup as (select doc_id, count(*) - count(distinct line) as n_dup_lines from own g
 hosts as (select source, count(distinct text) as texts from d group by 1),
 often as (
   select source, l from (select source, l, count(distinct text) as n from own group by 1, 2) join hosts using (source)
-  where n >= 10 and n >= 0.005 * texts),
+  where n >= 10 and n >= least(50, 0.005 * texts)),
 cut as (select doc_id, sum(n) as n_cut_words from own join often using (source, l) group by 1),
 grams as (
   select doc_id, i, array_to_string(w[i : i + 4], ' ') as gram
