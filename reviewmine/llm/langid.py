@@ -7,7 +7,10 @@ maximisation on the words of labelled texts. A text is scored by all its words;
 a task scores a word once, for all languages, many words at a time.
 
 The model is fitted on about ``per_language`` texts of each language at most,
-chosen by a hash of their key; scoring covers every row.
+chosen by a hash of their key; scoring covers every row. ``reject`` compares the
+mean log probability of a text's letters in its language with the least of about
+``JUDGED`` labelled texts of that language, which the pieces were not learned
+from, so that a language that was not learned is not taken for the nearest one.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so are all texts if nothing was learned; of equally likely languages the first
@@ -19,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -34,12 +37,13 @@ from reviewmine.sources.shared import materialize
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 PER_LANGUAGE = 3000  # texts of a language to learn from
 ROUNDS = 4  # of expectation maximisation
-PIECE = 10  # characters of the longest piece used, with the mark of a word's start
 WORD = 32  # letters; a longer run is cut into words of this length
 UNKNOWN = 1e-7  # probability of a letter that is no piece
 SMOOTHING = 0.02  # added to the expected count of every piece
 KNOWN_WORDS = 300_000  # words whose scores a task remembers; beyond, it starts anew
 SURE = 0.5  # of the score a text needs to be kept by ``reject``
+JUDGED = 1000  # texts of a language that set its limit for ``reject``, a quarter of its texts at most
+MARGIN = 1.5  # natural logarithm of a letter's probability by which a text may fall short of all of these
 NONE = "und"
 START = "▁"
 RUNS = re.compile(r"[^\W\d_]+")
@@ -50,7 +54,7 @@ def pieces_of(path: str = VOCABULARY) -> list[str]:
     """Lower-case letter pieces of a public vocabulary, with or without the mark of a word's start."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    letters = (p for p in found if p == p.lower() and len(p) <= PIECE and p.removeprefix(START).isalpha())
+    letters = (p for p in found if p == p.lower() and p.removeprefix(START).isalpha())
     return sorted(letters)
 
 
@@ -115,6 +119,7 @@ class Model:
     prior: np.ndarray
     pieces: list[str]
     probability: np.ndarray  # pieces x languages
+    least: dict[str, float] = field(default_factory=dict)  # mean log probability of a letter: the lowest of texts not learned from
 
     def rows(self) -> np.ndarray:
         """The probabilities with a row for no piece and one for an unknown letter."""
@@ -190,7 +195,12 @@ def train(
     if not languages:
         return Model([], prior, pieces, np.empty((len(pieces), 0)))
     share = F.create_map(*(F.lit(x) for pair in sizes.items() for x in (pair[0], per_language / pair[1])))
-    chosen = labelled.where(spread(F.col("key")) <= share[F.col("lang")])
+    part = F.least(F.lit(0.25), share[F.col("lang")] * (JUDGED / per_language))
+    judging = F.coalesce(spread(F.concat(F.lit("limit "), F.col("key").cast("string"))) <= part, F.lit(False))
+    sampled = materialize(
+        labelled.withColumn("judging", judging).where(F.col("judging") | (spread(F.col("key")) <= share[F.col("lang")]))
+    )
+    chosen = sampled.where("not judging")
 
     def count() -> Kernel:
         return lambda texts: [[list(words_of(t).items()) for t in texts]]
@@ -216,11 +226,17 @@ def train(
         for piece, at, n in summed.collect():
             total[piece, at] += n
         probability = total / total.sum(axis=0)
-    return Model(languages, prior / prior.sum(), pieces, probability)
+    model = Model(languages, prior / prior.sum(), pieces, probability)
+    fits = predict(sampled.where("judging"), model, carry=["lang"]).where(F.col("row.lang") == F.col("out.lang_pred"))
+    model.least = dict(fits.groupBy("row.lang").agg(F.min("out.fit")).collect())
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
-    """``(row, out)`` with ``out.lang_pred`` and ``out.score``, the probability of that language given the text."""
+    """``(row, out)`` with ``out.lang_pred``, ``out.score``, the probability of that language given the text, and ``out.fit``.
+
+    The fit is the mean log probability of a letter in that language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Kernel:
@@ -239,24 +255,33 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[s
             if new:
                 place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
                 known = np.concatenate([known, word_scores(new, finder, rows)])
-            languages, scores = [], []
+            found = []
             for count in counts:
                 if not count:
-                    languages.append(NONE)
-                    scores.append(0.0)
+                    found.append((NONE, 0.0, None))
                     continue
                 at = np.fromiter(map(place.__getitem__, count), np.int64, len(count))
-                total = prior + np.fromiter(count.values(), float, len(count)) @ known[at]
+                words = np.fromiter(count.values(), float, len(count)) @ known[at]
+                total = prior + words
                 best = int(total.argmax())
-                languages.append(model.languages[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            return [languages, scores]
+                letters = sum((len(word) - word.startswith(START)) * n for word, n in count.items())
+                score = float(1 / np.exp(total - total[best]).sum())
+                found.append((model.languages[best], score, float(words[best]) / letters))
+            return list(zip(*found, strict=True))
 
         return kernel
 
-    return annotate(docs, make, "lang_pred string, score double", text, carry)
+    return annotate(docs, make, "lang_pred string, score double, fit double", text, carry)
+
 
+def reject(docs: DataFrame, model: Model, text: str = "text", sure: float = SURE, margin: float = MARGIN) -> DataFrame:
+    """The rows in one learned language that is likelier than all others together, with their own columns.
 
-def reject(docs: DataFrame, model: Model, text: str = "text", sure: float = SURE) -> DataFrame:
-    """The rows in which one learned language is likelier than all others together, with their own columns."""
-    return predict(docs, model, text).where((F.col("out.lang_pred") != NONE) & (F.col("out.score") >= sure)).select("row.*")
+    Texts whose letters are less likely by ``margin`` than in any text that set the limit are in none; a language
+    that no text set a limit for has none.
+    """
+    own = F.lit(float("-inf"))
+    for language, least in model.least.items():
+        own = F.when(F.col("out.lang_pred") == language, least).otherwise(own)
+    fits = (F.col("out.lang_pred") != NONE) & (F.col("out.fit") >= own - margin)
+    return predict(docs, model, text).where((F.col("out.score") >= sure) & fits).select("row.*")

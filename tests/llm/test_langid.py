@@ -68,3 +68,18 @@ def test_messy_rows(spark):
     nothing = m.train(empty)
     assert m.predict(empty, model).count() == 0
     assert {x.lang_pred for x in m.predict(docs, nothing).select("out.*").collect()} == {"und"}
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    """Texts of sf0.01 stay, held out or not; those of a language that is left out of the learning mostly go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", held_out("doc_id", 4))
+    lettered = docs.where("text rlike '[a-z]'")
+    kept = m.reject(lettered, m.train(docs.where("not held")))
+    assert kept.count() == lettered.count()
+    other = [(i, t) for i, t in enumerate(["Съешь же ещё этих мягких французских булок да выпей чаю", "ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "qzxv jkqw zzxq vvkq xqjz wqkx"])]
+    assert m.reject(spark.createDataFrame(other, "doc_id int, text string"), m.train(docs.where("not held"))).count() == 0
+
+
+def test_all_letter_pieces_of_the_vocabulary_are_used():
+    pieces = m.pieces_of()
+    assert max(map(len, pieces)) > 10 and len(pieces) > 22_000
