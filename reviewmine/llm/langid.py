@@ -40,6 +40,7 @@ ROUNDS = 4  # of expectation maximisation
 WORD = 32  # letters; a longer run is cut into words of this length
 UNKNOWN = 1e-7  # probability of a letter that is no piece
 SMOOTHING = 0.02  # added to the expected count of every piece
+WORDS = 4000  # looked up at a time
 KNOWN_WORDS = 300_000  # words whose scores a task remembers; beyond, it starts anew
 SURE = 0.5  # of the score a text needs to be kept by ``reject``
 JUDGED = 1000  # texts of a language that set its limit for ``reject``, a quarter of its texts at most
@@ -154,7 +155,7 @@ def word_scores(words: Sequence[str], finder: Pieces, rows: np.ndarray) -> np.nd
     """Log probability of each word in each language."""
     scores = np.empty((len(words), rows.shape[1]))
     for at in _by_length(words):
-        for part in np.array_split(at, len(at) // 20_000 + 1):
+        for part in np.array_split(at, len(at) // WORDS + 1):
             scores[part] = np.log(_forward(finder.inside([words[i] for i in part]), rows)[-1])
     return scores
 
@@ -163,7 +164,7 @@ def expected_counts(words: Sequence[str], counts: np.ndarray, finder: Pieces, ro
     """How often each piece is expected in the words (words x languages counts), by forward and backward sums."""
     total = np.zeros((finder.size + 2, rows.shape[1]))
     for at in _by_length(words):
-        for part in np.array_split(at, len(at) // 20_000 + 1):
+        for part in np.array_split(at, len(at) // WORDS + 1):
             found = finder.inside([words[i] for i in part])
             ahead, behind = _forward(found, rows), _backward(found, rows)
             weight = counts[part] / ahead[-1]
