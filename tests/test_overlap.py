@@ -67,3 +67,12 @@ def test_shuffle_files_go_with_their_job(spark):
         time.sleep(0.1)
     assert not files() - before
     assert table.count() == 1000
+
+
+def test_repeated_rows_meet_each_other(spark):
+    """A row that occurs twice counts for each occurrence, as in the plain join of the rows."""
+    rows = [(0, v) for v in (1, 1, 2, 3)] + [(1, v) for v in (1, 1, 2, 4)] + [(2, v) for v in (2, 3, 4)]
+    sets = overlap.shared_values(spark.createDataFrame(rows, "item long, value long"))
+    pairs = spark.createDataFrame([(0, 1, 4, 4), (0, 2, 4, 3), (1, 2, 4, 3)], "a long, b long, na long, nb long")
+    got = {(r.a, r.b): r.common for r in overlap.count_common(pairs, sets).collect()}
+    assert got == {(0, 1): 5, (0, 2): 2, (1, 2): 2}
