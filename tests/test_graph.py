@@ -174,6 +174,21 @@ def test_removal_order(spark):
     assert got == [(a, b, round(q, 9)) for a, b, q in removals_by_hand(edges)]
 
 
+@pytest.mark.parametrize("few", [256, 4])
+def test_removal_order_of_small_and_large_components(spark, monkeypatch, few):
+    """Small components are cut up in a task, without a round of searches for each edge; large ones in rounds."""
+    monkeypatch.setattr(com, "FEW", few)
+    rounds, plain = [], com.searched
+    monkeypatch.setattr(com, "searched", lambda edges: rounds.append(1) or plain(edges))
+    clique = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    ring = [(20 + k, 20 + (k + 1) % 5) for k in range(5)]
+    edges = [*clique, *((min(e), max(e)) for e in ring), (20, 22), (40, 41), (41, 42)]
+    trace = com.removal_trace(spark.createDataFrame(edges, "src long, dst long"))
+    got = [(r.src, r.dst, round(r.q, 9)) for r in trace.orderBy("step").collect()]
+    assert got == [(a, b, round(q, 9)) for a, b, q in removals_by_hand(edges)]
+    assert bool(rounds) == (few < 5)
+
+
 def test_documents(spark):
     """All removals of the smallest tables' graph, and the first best partition."""
     edges = [(r.src, r.dst) for r in contract.queries()["cooccurrence_graph"](spark, SMALL).collect()]
