@@ -14,6 +14,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ from reviewmine.sources.shared import attach, materialize
 Enough = Callable[[DataFrame], DataFrame]  # keeps the rows whose ``freq`` suffices
 
 RANGE = 24_576  # baskets expected in a range, under the 32,768 bits of Spark's bitmaps; what is above goes to a further one
+BLOCK = 200_000  # sets in a block
+HELD = 16_384  # bitmaps that a task holds, of 4 KB each; one range of all items at least
+TILE = 2048  # sets intersected at a time
 BITMAP_ROWS = 64  # rows for pairs in baskets that take as long as intersecting two bitmaps
 
 
@@ -68,12 +74,56 @@ def _extent(baskets: DataFrame) -> tuple[int, float]:
 
 
 def count_sets(bitmaps: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(chunk, items, freq)``: in how many baskets the given ``(chunk, items)`` of any sizes are; 0 is left out."""
-    items = sets.select("chunk", "items", F.explode("items").alias("item"))
-    ranges = bitmaps.join(items, ["chunk", "item"]).groupBy("chunk", "items", "slot", "part")
-    both = ranges.agg(F.count(F.lit(1)).alias("n"), F.bitmap_and_agg("bits").alias("bits"))
-    both = both.where(F.col("n") == F.size("items")).select("chunk", "items", F.bitmap_count("bits").alias("k"))
-    return both.groupBy("chunk", "items").agg(F.sum("k").alias("freq")).where(F.col("freq") > 0)
+    """``(chunk, items, freq)``: in how many baskets the given ``(chunk, items)`` of any sizes are; 0 is left out.
+
+    The bitmaps of some slots meet a block of the sets in one task, which
+    intersects them in place and sums up. So a bitmap moves once for a block of
+    sets, and a set once for each group of slots, whatever items they have in common.
+    """
+    sets = materialize(sets)
+    found = bitmaps.agg(F.count(F.lit(1)), F.max("slot")).first()
+    tasks = bitmaps.sparkSession.sparkContext.defaultParallelism
+    groups = min((found[1] or 0) + 1, max(tasks, -(-found[0] // HELD)))
+    blocks = max(1, -(-sets.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ranges = bitmaps.withColumn("group", F.pmod("slot", F.lit(groups))).withColumn("block", every(blocks))
+    asked = sets.select("chunk", "items", F.pmod(F.xxhash64("items"), F.lit(blocks)).cast("int").alias("block"))
+    asked = asked.withColumn("group", every(groups))
+    cell = ["chunk", "group", "block"]
+    kinds = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in ("chunk", "items"))
+    met = ranges.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_intersected, f"{kinds}, freq bigint")
+    return met.groupBy("chunk", "items").agg(F.sum("freq").alias("freq"))
+
+
+def _intersected(ranges: pa.Table, asked: pa.Table) -> pa.Table:
+    """In how many baskets of some ranges each of the asked sets is; those in none are left out."""
+    sets = asked.select(["chunk", "items"]).combine_chunks()
+    freq = np.zeros(len(sets), np.int64)
+    if len(ranges) and len(sets):
+        items = ranges.column("item").combine_chunks().dictionary_encode()
+        code = items.indices.to_numpy()
+        bits = np.frombuffer(b"".join(ranges.column("bits").to_pylist()), np.uint64).reshape(len(ranges), -1)
+        lists = sets.column("items").combine_chunks()
+        # an item that no range has is the last row, which stays empty
+        none = len(items.dictionary)
+        member = pc.fill_null(pc.index_in(lists.flatten(), items.dictionary), none).to_numpy()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        sizes = np.diff(ends, prepend=0)
+        where = np.stack([ranges.column(c).to_numpy().astype(np.int64) for c in ("slot", "part")])
+        order = np.lexsort(where)
+        new = np.flatnonzero((np.diff(where[:, order], axis=1) != 0).any(axis=0)) + 1
+        for rows in np.split(order, new):
+            table = np.zeros((none + 1, bits.shape[1]), np.uint64)
+            table[code[rows]] = bits[rows]
+            for size in np.unique(sizes):
+                some = np.flatnonzero(sizes == size)
+                for start in range(0, len(some), TILE):
+                    at = some[start : start + TILE]
+                    both = table[member[ends[at] - size]]
+                    for i in range(1, size):
+                        both &= table[member[ends[at] - size + i]]
+                    freq[at] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+    return sets.append_column("freq", pa.array(freq)).filter(pa.array(freq > 0))
 
 
 def _pairs(single: DataFrame) -> DataFrame:

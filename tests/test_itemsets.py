@@ -93,3 +93,18 @@ def test_large_baskets_below_the_support(spark):
     large = spark.range(4).withColumnRenamed("id", "basket").join(spark.range(3000).select(F.format_string("i%d", "id").alias("item")))
     small = spark.range(10, 16).select(F.col("id").alias("basket"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("item"))
     assert as_dict(itemsets.frequent_itemsets(large.unionByName(small), 5)) == {("x",): 6, ("y",): 6, ("x", "y"): 6}
+
+
+def test_bitmaps_meet_sets_in_few_places(spark, monkeypatch):
+    """Sets of all sizes over several slots, groups and blocks; bitmaps are moved by block, not by set."""
+    monkeypatch.setattr(itemsets, "BLOCK", 5)
+    monkeypatch.setattr(itemsets, "HELD", 2)
+    rows = {(b, f"i{k}") for b in range(300) for k in range(6) if (b * 7 + k * k) % (k + 2)}
+    baskets = spark.createDataFrame([(0, *row) for row in rows], "chunk int, basket long, item string")
+    want = {c: n for c, n in brute(rows, 1).items()}
+    asked = spark.createDataFrame([(0, list(c)) for c in [*want, ("i0", "none")]], "chunk int, items array<string>")
+    bitmaps = itemsets.item_bitmaps(baskets, 7)
+    counts = itemsets.count_sets(bitmaps, asked)
+    assert as_dict(counts) == want
+    # one shuffle of each side and one of the counts: bitmaps never meet sets item by item
+    assert "bitmap_and_agg" not in counts._jdf.queryExecution().toString()
