@@ -1,8 +1,10 @@
 import math
 import random
+import statistics
 
 import pytest
 
+from reviewmine.operators import correlation
 from reviewmine.operators import recommend as rec
 from reviewmine.operators.correlation import cosine, pearson
 from reviewmine.operators.neighbours import user_neighbours
@@ -121,3 +123,27 @@ def test_als_beats_the_mean(spark):
     level = sum(r for *_, r in rows[:400]) / 400
     spread = math.sqrt(sum((r - level) ** 2 for *_, r in rows[400:]) / 100)
     assert rec.rmse(test, predicted).first()[0] < spread / 2
+
+
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_item_weights_by_block(spark, monkeypatch, dense):
+    """Both ways sum up the same: with missing ratings, repeated cells, missing ids and pairs without anything in common."""
+    monkeypatch.setattr(correlation, "DENSE", dense)
+    monkeypatch.setattr(correlation, "TILE", 16)
+    rng = random.Random(3)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(40) for i in range(6) if rng.random() < 0.5]
+    rows += [(50, 6, 2.0), (51, 7, 4.0), (0, 1, None), (1, 2, 3.0), (1, 2, 5.0), (None, 3, 1.0), (3, None, 4.0)]
+    pairs = [(i, j) for i in range(8) for j in range(i + 1, 8)] + [(0, 99)]
+    means = {i: statistics.mean(r for _, k, r in rows if k == i and r is not None) for i in range(8)}
+    want = {}
+    for a, b in pairs:
+        both = [(r, s) for u, i, r in rows for v, j, s in rows if (i, j) == (a, b) and u == v and u is not None]
+        both = [tuple(None if r is None else r - means[k] for r, k in zip(m, (a, b))) for m in both]
+        dot = sum(p * q for p, q in both if None not in (p, q))
+        norm = [sum(m[k] ** 2 for m in both if m[k] is not None) ** 0.5 for k in (0, 1)]
+        if both:
+            want[a, b] = round(dot / (norm[0] * norm[1]) if all(norm) else 0, 6)
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    found = correlation.pearson(spark.createDataFrame(pairs, "a long, b long"), ratings, "item_id")
+    assert {(r.a, r.b): round(r.w, 6) for r in found.collect()} == want
+    assert ("SortMergeJoin" in found._jdf.queryExecution().toString() or "BroadcastHashJoin" in found._jdf.queryExecution().toString()) == (not dense)
