@@ -1,3 +1,4 @@
+import os
 import random
 import time
 from pathlib import Path
@@ -76,3 +77,28 @@ def test_repeated_rows_meet_each_other(spark):
     pairs = spark.createDataFrame([(0, 1, 4, 4), (0, 2, 4, 3), (1, 2, 4, 3)], "a long, b long, na long, nb long")
     got = {(r.a, r.b): r.common for r in overlap.count_common(pairs, sets).collect()}
     assert got == {(0, 1): 5, (0, 2): 2, (1, 2): 2}
+
+
+def test_values_and_pairs_are_counted_in_passes(spark, monkeypatch):
+    """No write has the fingerprints of all values or the pairs of all sets, and what is read no more is deleted."""
+    rng = random.Random(11)
+    sets = {i: set(rng.sample(range(60), 25)) for i in range(40)}
+    written, write = [], overlap.materialize
+
+    def seen(df):
+        table = write(df)
+        written.append((table.columns, table.count(), table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(overlap, "materialize", seen)
+    rows = spark.createDataFrame([(i, v) for i, s in sets.items() for v in s], "item long, value long")
+    got = {(r.a, r.b): r.common for r in overlap.overlapping_pairs(rows, 12).collect()}
+    assert got == {(i, j): n for i in sets for j in sets if i < j and (n := len(sets[i] & sets[j])) >= 12}
+    values = [w for w in written if w[0] == ["item", "value", "place"]]
+    assert sum(n for _, n, _ in values) == 1000
+    assert max(n for _, n, _ in values) < 700
+    met = [n for columns, n, _ in written if "met" in columns]
+    assert len(met) > 1
+    assert max(met) < sum(met)
+    gone = [f for columns, _, files in written if "place" in columns for f in files]
+    assert gone and not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in gone)
