@@ -8,9 +8,11 @@ a task scores a word once, for all languages, many words at a time.
 
 The model is fitted on about ``per_language`` texts of each language at most,
 chosen by a hash of their key; scoring covers every row. ``reject`` compares the
-mean log probability of a text's letters in its language with the least of about
-``JUDGED`` labelled texts of that language, which the pieces were not learned
-from, so that a language that was not learned is not taken for the nearest one.
+mean log probability of a text's letters in its language with a limit of that
+language, so that a language that was not learned is not taken for the nearest
+one. About ``JUDGED`` labelled texts of each language, which the pieces were not
+learned from, set the limits: they are halfway from texts of the language to
+those of the other language that fit it best.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so are all texts if nothing was learned; of equally likely languages the first
@@ -44,7 +46,8 @@ WORDS = 4000  # looked up at a time
 KNOWN_WORDS = 300_000  # words whose scores a task remembers; beyond, it starts anew
 SURE = 0.5  # of the score a text needs to be kept by ``reject``
 JUDGED = 1000  # texts of a language that set its limit for ``reject``, a quarter of its texts at most
-MARGIN = 1.5  # natural logarithm of a letter's probability by which a text may fall short of all of these
+SLACK = 10.0  # natural logarithm by which a letter may fall short of the limit, over the square root of a text's letters
+LOWEST = 0.01  # of the texts that set a language's limit may be below it
 NONE = "und"
 START = "▁"
 RUNS = re.compile(r"[^\W\d_]+")
@@ -120,7 +123,7 @@ class Model:
     prior: np.ndarray
     pieces: list[str]
     probability: np.ndarray  # pieces x languages
-    least: dict[str, float] = field(default_factory=dict)  # mean log probability of a letter: the lowest of texts not learned from
+    limits: dict[str, float] = field(default_factory=dict)  # mean log probability of a letter that texts of a language reach
 
     def rows(self) -> np.ndarray:
         """The probabilities with a row for no piece and one for an unknown letter."""
@@ -228,15 +231,33 @@ def train(
             total[piece, at] += n
         probability = total / total.sum(axis=0)
     model = Model(languages, prior / prior.sum(), pieces, probability)
-    fits = predict(sampled.where("judging"), model, carry=["lang"]).where(F.col("row.lang") == F.col("out.lang_pred"))
-    model.least = dict(fits.groupBy("row.lang").agg(F.min("out.fit")).collect())
+    model.limits = _limits(sampled.where("judging"), model)
     return model
 
 
+def _limits(judging: DataFrame, model: Model) -> dict[str, float]:
+    """The limit of each language that has texts: halfway to the next one, and not above nearly all of its own.
+
+    Where texts of no other language are known, only the latter counts.
+    """
+    judged = predict(judging, model, carry=["lang"]).where("out.letters > 0").select("row.lang", "out.*")
+    means = [F.avg(F.col("fits")[i]) for i in range(len(model.languages))]
+    # the allowance of short texts
+    own = F.when(F.col("lang") == F.col("lang_pred"), F.col("fit") + SLACK / F.sqrt("letters"))
+    found = {x: (low, means) for x, low, means in judged.groupBy("lang").agg(F.percentile_approx(own, LOWEST), F.array(*means)).collect()}
+    limits = {}
+    for i, language in enumerate(model.languages):
+        if language in found and found[language][0] is not None:
+            low, fits = found[language]
+            others = [other[i] for name, (_, other) in found.items() if name != language]
+            limits[language] = min(low, (fits[i] + max(others)) / 2) if others else low
+    return limits
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
     """``(row, out)`` with ``out.lang_pred``, ``out.score``, the probability of that language given the text, and ``out.fit``.
 
-    The fit is the mean log probability of a letter in that language.
+    The fit is the mean log probability of a letter in that language; ``out.fits`` has those in all languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -259,7 +280,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[s
             found = []
             for count in counts:
                 if not count:
-                    found.append((NONE, 0.0, None))
+                    found.append((NONE, 0.0, None, None, 0))
                     continue
                 at = np.fromiter(map(place.__getitem__, count), np.int64, len(count))
                 words = np.fromiter(count.values(), float, len(count)) @ known[at]
@@ -267,22 +288,23 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[s
                 best = int(total.argmax())
                 letters = sum((len(word) - word.startswith(START)) * n for word, n in count.items())
                 score = float(1 / np.exp(total - total[best]).sum())
-                found.append((model.languages[best], score, float(words[best]) / letters))
+                fits = words / letters
+                found.append((model.languages[best], score, float(fits[best]), fits, letters))
             return list(zip(*found, strict=True))
 
         return kernel
 
-    return annotate(docs, make, "lang_pred string, score double, fit double", text, carry)
+    return annotate(docs, make, "lang_pred string, score double, fit double, fits array<double>, letters bigint", text, carry)
 
 
-def reject(docs: DataFrame, model: Model, text: str = "text", sure: float = SURE, margin: float = MARGIN) -> DataFrame:
+def reject(docs: DataFrame, model: Model, text: str = "text", sure: float = SURE, slack: float = SLACK) -> DataFrame:
     """The rows in one learned language that is likelier than all others together, with their own columns.
 
-    Texts whose letters are less likely by ``margin`` than in any text that set the limit are in none; a language
-    that no text set a limit for has none.
+    Texts whose letters are less likely than the limit of the language are in none; short ones, whose means vary, may
+    fall short of it by ``slack`` over the square root of their letters. A language that no text set a limit for has none.
     """
-    own = F.lit(float("-inf"))
-    for language, least in model.least.items():
-        own = F.when(F.col("out.lang_pred") == language, least).otherwise(own)
-    fits = (F.col("out.lang_pred") != NONE) & (F.col("out.fit") >= own - margin)
+    limit = F.lit(float("-inf"))
+    for language, own in model.limits.items():
+        limit = F.when(F.col("out.lang_pred") == language, own).otherwise(limit)
+    fits = (F.col("out.lang_pred") != NONE) & (F.col("out.fit") >= limit - slack / F.sqrt(F.greatest("out.letters", F.lit(1))))
     return predict(docs, model, text).where((F.col("out.score") >= sure) & fits).select("row.*")

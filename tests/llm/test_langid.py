@@ -83,3 +83,24 @@ def test_a_language_that_was_not_learned_is_rejected(spark):
 def test_all_letter_pieces_of_the_vocabulary_are_used():
     pieces = m.pieces_of()
     assert max(map(len, pieces)) > 10 and len(pieces) > 22_000
+
+
+def test_texts_of_the_same_letters_are_rejected_too(spark):
+    """A language left out of the learning goes, though it has the letters of the others, and those stay whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", held_out("doc_id", 4))
+    docs = docs.where("text rlike '[a-zA-Z]'").cache()
+    for left_out in ("de", "es"):
+        kept = m.reject(docs, m.train(docs.where(f"not held and lang <> '{left_out}'"))).groupBy("lang").count()
+        kept, all_texts = dict(kept.collect()), dict(docs.groupBy("lang").count().collect())
+        assert kept.pop(left_out, 0) < 0.1 * all_texts.pop(left_out)
+        assert kept == all_texts
+
+
+def test_limits_without_another_language(spark):
+    """Two names of one language, or a single language, lose no more than the lowest of their own texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'fr' and text rlike '[a-z]'")
+    named = docs.selectExpr("doc_id", "text", "case when doc_id % 2 = 0 then 'fr' else 'fr-CA' end as lang")
+    for rows in (docs, named):
+        model = m.train(rows.select("doc_id", "text", "lang"), rounds=2)
+        assert set(model.limits) == set(model.languages)
+        assert m.reject(rows, model, sure=0).count() >= 0.97 * rows.count()
