@@ -102,3 +102,25 @@ def test_values_and_pairs_are_counted_in_passes(spark, monkeypatch):
     assert max(met) < sum(met)
     gone = [f for columns, _, files in written if "place" in columns for f in files]
     assert gone and not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in gone)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_of_large_fronts_are_counted_in_place(spark, monkeypatch, kind):
+    """No row of a join for each common value: bands of sets meet each other once, whatever their number and pieces."""
+    for name, value in (("JOINED", 0), ("BAND", 100), ("LEAST_BAND", 50), ("TOGETHER", 2), ("EXPANDED", 30)):
+        monkeypatch.setattr(overlap, name, value)
+    join = overlap.product_join
+
+    def seen(left, right, keys, *more):
+        assert keys != ["rank"]
+        return join(left, right, keys, *more)
+
+    monkeypatch.setattr(overlap, "product_join", seen)
+    rng = random.Random(12)
+    name = int if kind == "long" else "i{}".format
+    sets = {name(i): set(rng.sample(range(50), 12 + i % 9)) for i in range(60)}
+    sets[name(60)] = sets[name(3)]
+    rows = [(i, v) for i, s in sets.items() for v in s]
+    got = [(r.a, r.b, r.common) for r in overlap.overlapping_pairs(spark.createDataFrame(rows, f"item {kind}, value long"), 7).collect()]
+    want = {(i, j): n for i in sets for j in sets if i < j and (n := len(sets[i] & sets[j])) >= 7}
+    assert {(a, b): n for a, b, n in got} == want and len(got) == len(want)
