@@ -239,3 +239,23 @@ def test_modularity_of_any_partition(spark):
     members = spark.createDataFrame(sorted(label.items()), "node long, community long")
     df = spark.createDataFrame(edges, "src long, dst long")
     assert graph.modularity(df, members).first().q == pytest.approx(quality(edges, label))
+
+
+def test_dense_components_are_searched_in_place(spark, monkeypatch):
+    """The same scores and labels whether levels are joined or multiplied, beside a sparse component and with peeled leaves."""
+    rng = random.Random(4)
+    edges = {(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.3}
+    edges |= {(100 + a, 100 + b) for a in range(9) for b in range(a + 1, 9) if rng.random() < 0.6}
+    edges |= {(200 + i, 201 + i) for i in range(30)} | {(200, 230), (39, 300), (300, 301), (104, 302)}
+    table = spark.createDataFrame(sorted(edges), "src long, dst long")
+    want = [sorted(map(tuple, x.collect())) for x in graph.searched(table)]
+    for name, value in (("MUCH", 0), ("SMALL", 12), ("SPARSE", 20), ("ROOTS", 16), ("BLOCK", 5), ("STRIP", 7), ("LARGE", 3.0)):
+        monkeypatch.setattr(graph, name, value)
+    cells, plain = [], graph._weighted_levels
+    monkeypatch.setattr(graph, "_weighted_levels", lambda *a: cells.append(plain(*a)) or cells[-1])
+    scores, labels = graph.searched(table)
+    got = sorted(map(tuple, scores.collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want[0]]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want[0]])
+    assert sorted(map(tuple, labels.collect())) == want[1]
+    assert {r.root // 100 for r in cells[0][0].collect()} == {2}  # only the long ring
