@@ -259,3 +259,11 @@ def test_dense_components_are_searched_in_place(spark, monkeypatch):
     assert [r[2] for r in got] == pytest.approx([r[2] for r in want[0]])
     assert sorted(map(tuple, labels.collect())) == want[1]
     assert {r.root // 100 for r in cells[0][0].collect()} == {2}  # only the long ring
+
+
+def test_components_of_some_hundred_nodes_take_no_rounds(spark, monkeypatch):
+    """A star of 300 nodes: 299 rounds of Spark jobs before, now one task."""
+    monkeypatch.setattr(com, "_large_sequences", None)
+    trace = com.removal_trace(spark.createDataFrame([(0, i) for i in range(1, 300)], "src long, dst long"))
+    rows = sorted(tuple(r) for r in trace.select("src", "dst").collect())
+    assert rows == [(0, i) for i in range(1, 300)]
